@@ -38,6 +38,11 @@ def settle(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_scalars(df: DataFrame, totals: DataFrame) -> DataFrame:
+    """Put the columns of a one-row table on every row, as scalar subqueries."""
+    return df.select("*", *[totals.select(c).scalar().alias(c) for c in totals.columns])
+
+
 def parallelism(spark: SparkSession) -> int:
     """Partition count for generated rows, which have no input splits of their own."""
     return max(spark.sparkContext.defaultParallelism, 1)
