@@ -23,12 +23,13 @@ def line_of(n: Column, sx: Column, sy: Column, sxx: Column, sxy: Column) -> tupl
 
 
 def complement_line(df: DataFrame, fold: str, x: str, y: str, scope: list[str] | None = None) -> DataFrame:
-    """Least-squares line per fold on the other folds."""
+    """Least-squares line, and the plain mean, per fold on the other folds."""
     cx, cy = F.col(x), F.col(y)
     sums = complement_sums(df, fold, scope or [], {
         "n": F.lit(1.0), "sx": cx, "sy": cy, "sxx": cx * cx, "sxy": cx * cy})
     slope, intercept = line_of(*[F.col(c) for c in ("n", "sx", "sy", "sxx", "sxy")])
-    return sums.select(*(scope or []), fold, slope.alias("slope"), intercept.alias("intercept"))
+    return sums.select(*(scope or []), fold, slope.alias("slope"), intercept.alias("intercept"),
+        (F.col("sy") / F.col("n")).alias("mean"))
 
 
 def complement_means(df: DataFrame, fold: str, by: list[str], y: str, out: str, scope: list[str] | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from evenfold.operators.ranks import bucketed_row_number, hash_row_number
 from evenfold.roles import DEFAULT, Roles
-from evenfold.session import settle, with_scalars
+from evenfold.session import local_table, settle, with_scalars
 
 SEGMENTS = T.StructType([
     T.StructField("n", T.LongType()), T.StructField("first", T.LongType()),
@@ -70,8 +70,7 @@ def deal_sized_groups(groups: DataFrame, size: str, k: int, seed: int, scope: li
     for key, part in runs.items():
         part.sort(reverse=True)
         rows += [(*key, *seg) for seg in deal_equal_sizes(part, min(k, sum(c for _, c in part)))]
-    plan = groups.sparkSession.createDataFrame(
-        rows, T.StructType([groups.schema[s] for s in scope] + SEGMENTS.fields))
+    plan = local_table(groups.sparkSession, rows, T.StructType([groups.schema[s] for s in scope] + SEGMENTS.fields))
     tagged = groups.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(roles.group).cast("string"))))
     part = [*scope, "n"]
     ranked = bucketed_row_number(tagged, part, F.substring("_h", 1, 3), [F.col("_h"), F.col(roles.group)], "_rank")

@@ -98,14 +98,14 @@ def nearest_point_distance(queries: DataFrame, train: DataFrame, scope: list[str
         return F.array(*[F.floor(F.col(d) * (2.0**level)).cast("long") for d in dims])
 
     points = settle(train.select(*scope, *dims).distinct(), "points")
-    wanted = settle(queries.select(*scope, *dims).distinct().withColumn("_id", F.xxhash64(*scope, *dims)), "wanted")
+    wanted = settle(queries.select(*scope, *dims).distinct(), "wanted")
     spread = points.agg(*[F.max(F.abs(F.col(d))).alias(d) for d in dims]).first()
     top = max([abs(spread[d]) for d in dims if spread[d] is not None] or [1.0])
     level = 0
     while top * 2.0**level > 1.0:
         level -= 1
-    best = F.min("_up").over(Window.partitionBy(*scope, *dims))
-    state = wanted.select(*scope, *dims)
+    best = F.min(F.least("_up", "_bound")).over(Window.partitionBy(*scope, *dims))
+    state = wanted.select(*scope, *dims, F.lit(float("inf")).alias("_bound"))
     parent: int | None = None
     while True:
         boxes = points.groupBy(*scope, *([cell(parent).alias("_p")] if parent is not None else []), cell(level).alias("_c")).agg(
@@ -120,9 +120,10 @@ def nearest_point_distance(queries: DataFrame, train: DataFrame, scope: list[str
             up = up + F.pow(F.col(d) - F.col(f"_one.{d}"), F.lit(2.0))
             gap = F.greatest(F.col(f"_lo_{d}") - F.col(d), F.col(d) - F.col(f"_hi_{d}"), F.lit(0.0))
             low = low + gap * gap
-        pairs = pairs.withColumns({"_up": up, "_low": low}).withColumn("_best", best).where(F.col("_low") <= F.col("_best"))
+        pairs = pairs.withColumns({"_up": up, "_low": low}).where(F.col("_low") <= F.col("_bound"))
+        pairs = pairs.withColumn("_best", best).where(F.col("_low") <= F.col("_best"))
         biggest = boxes.agg(F.max("_n").alias("n")).first()["n"]
-        state = settle(pairs.select(*scope, *dims, F.col("_c").alias("_p")), "state")
+        state = settle(pairs.select(*scope, *dims, F.col("_best").alias("_bound"), F.col("_c").alias("_p")), "state")
         parent = level
         if biggest is None or biggest <= leaf or level >= finest:
             break

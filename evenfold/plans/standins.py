@@ -109,9 +109,8 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
         rec = folded(spark, sf)
         events = rec.where("is_event")
         line = settle(complement_line(events, "fold", "x_gross", "y"), "line")
-        const = settle(complement_means(events, "fold", [], "y", "c_mean"), "const")
         segment = settle(complement_means(events, "fold", ["env_class"], "y", "s_mean"), "segment")
-        wide = rec.join(line, "fold").join(const, "fold").join(segment, ["fold", "env_class"], "left")
+        wide = rec.join(line.withColumnRenamed("mean", "c_mean"), "fold").join(segment, ["fold", "env_class"], "left")
         members = F.array(
             F.struct(F.lit("const").alias("model"), F.col("c_mean").alias("pred"), F.lit("normal").alias("family")),
             F.struct(F.lit("line").alias("model"), (F.col("intercept") + F.col("slope") * F.col("x_gross")).alias("pred"),
@@ -145,8 +144,7 @@ def factor_predictions(spark: SparkSession, sf: str) -> DataFrame:
         long = fold_ops.long_factors(rec, factors, keep).withColumnRenamed("level", "holdout").drop("factor")
         events = long.where("is_event")
         line = settle(complement_line(events, "holdout", "x_gross", "y", ["scenario"]), "fline")
-        const = settle(complement_means(events, "holdout", [], "y", "c_mean", ["scenario"]), "fconst")
-        wide = long.join(line, ["scenario", "holdout"]).join(const, ["scenario", "holdout"])
+        wide = long.join(line.withColumnRenamed("mean", "c_mean"), ["scenario", "holdout"])
         members = F.array(
             F.struct(F.lit("const").alias("model"), F.col("c_mean").alias("pred")),
             F.struct(F.lit("line").alias("model"), (F.col("intercept") + F.col("slope") * F.col("x_gross")).alias("pred")))

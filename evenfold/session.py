@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,6 +46,13 @@ def with_scalars(df: DataFrame, totals: DataFrame) -> DataFrame:
     return df.select("*", *[totals.select(c).scalar().alias(c) for c in totals.columns])
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A small driver-side table as a local relation, whose size Catalyst knows."""
+    columns = list(zip(*rows)) if rows else [[] for _ in schema.fields]
+    arrays = [pa.array(list(c), type=to_arrow_type(f.dataType)) for c, f in zip(columns, schema.fields)]
+    return spark.createDataFrame(pa.table(arrays, names=schema.names), schema=schema)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Partition count for generated rows, which have no input splits of their own."""
     return max(spark.sparkContext.defaultParallelism, 1)
