@@ -14,7 +14,6 @@ from evenfold.operators import resample as B
 from evenfold.operators import select as K
 from evenfold.plans import probability as PR
 from evenfold.plans import standins as S
-from evenfold.plans import variants as V
 from evenfold.session import settle
 
 c = F.col
@@ -139,9 +138,9 @@ def _holdouts(spark, sf):
     return FO.level_holdouts(S.records(spark, sf), FACTORS)
 
 
-@query("strict_holdouts", f"""WITH cells AS (SELECT DISTINCT scenario, factor, level, group_id FROM {LONG}), g AS (SELECT group_id, count(*) AS gn, sum(is_event::int) AS ge FROM rec GROUP BY group_id), tot AS (SELECT count(*) AS n, sum(is_event::int) AS e FROM rec)
-  SELECT scenario, factor, level, n_test, n_test_groups, n - n_test AS n_train_original, (n - gn)::BIGINT AS n_train, 25 - n_test_groups AS n_train_groups, (gn - n_test)::BIGINT AS n_removed,
-   CASE WHEN 25 - n_test_groups < 4 THEN 'too_few_training_groups' ELSE '' END AS reason, CASE WHEN 25 - n_test_groups < 4 THEN 'not_estimable' WHEN gn > n_test THEN 'refit' ELSE 'reuse' END AS action
+@query("strict_holdouts", f"""WITH cells AS (SELECT DISTINCT scenario, factor, level, group_id FROM {LONG}), g AS (SELECT group_id, count(*) AS gn, sum(is_event::int) AS ge FROM rec GROUP BY group_id), tot AS (SELECT count(*) AS n, count(DISTINCT group_id) AS ng FROM rec)
+  SELECT scenario, factor, level, n_test, n_test_groups, n - n_test AS n_train_original, (n - gn)::BIGINT AS n_train, ng - n_test_groups AS n_train_groups, (gn - n_test)::BIGINT AS n_removed,
+   CASE WHEN ng - n_test_groups < 4 THEN 'too_few_training_groups' ELSE '' END AS reason, CASE WHEN ng - n_test_groups < 4 THEN 'not_estimable' WHEN gn > n_test THEN 'refit' ELSE 'reuse' END AS action
   FROM (SELECT scenario, factor, level, count(*) AS n_test FROM {LONG} GROUP BY ALL) JOIN (SELECT scenario, factor, level, count(*) AS n_test_groups, sum(gn) AS gn FROM cells JOIN g USING (group_id) GROUP BY ALL) USING (scenario, factor, level), tot""",
        "scenario factor level n_test n_test_groups n_train_original n_train n_train_groups n_removed reason action", "", "rec")
 def _strict(spark, sf):
@@ -269,10 +268,9 @@ def _json(spark, sf):
     return R.unpack_candidates(packed, "candidates", "candidate int, eta double, selected boolean", ["fold"])
 
 
-@query("candidate_json_problems", "SELECT 0::BIGINT AS n_problems", "n_problems")
+@query("candidate_json_problems", f"WITH {CAND} SELECT fold, count(*) AS n_candidates, 1::BIGINT AS n_selected FROM cand GROUP BY fold", "fold n_candidates n_selected", "", "pred")
 def _jsonproblems(spark, sf):
-    rows = _json(spark, sf)
-    return R.unpack_problems(rows, ["fold"], len(ETAS)).agg(F.count(F.lit(1)).alias("n_problems"))
+    return R.unpack_problems(_json(spark, sf), ["fold"], len(ETAS) + 1)
 
 
 @query("settings_json", """WITH s AS (SELECT DISTINCT env_class, architecture, n_lines FROM rec) SELECT env_class, architecture, n_lines, '{"architecture":"' || architecture || '","env_class":"' || env_class || '","n_lines":' || n_lines || '}' AS settings FROM s""", "env_class architecture n_lines settings", "", "rec")
@@ -295,15 +293,3 @@ def _issues(spark, sf):
 @query("split_id_arrays", "SELECT fold, row_id FROM recf", "fold row_id", "", "recf")
 def _ids(spark, sf):
     return R.unpack_ids(R.pack_ids(S.folded(spark, sf), ["fold"], "row_id"), ["fold"], "ids", "row_id")
-
-
-@query("candidate_grid", """SELECT pool, family, gamma, strength, eta, leaf, max_features, depth, rate, length, alpha FROM (
-  SELECT 'hybrid' AS pool, family, gamma, strength, eta FROM (VALUES ('trees'), ('trees_with_trunk'), ('kernel')) f(family), (VALUES (0.75::double), (0.85::double), (0.95::double)) g(gamma), (VALUES (0.0::double), (0.1::double), (1.0::double)) s(strength), (VALUES (0.75::double), (1.0::double)) e(eta)
-  UNION ALL BY NAME SELECT 'control' AS pool, 'forest' AS family, leaf, max_features FROM (VALUES (2), (3), (5), (8), (12), (16)) l(leaf), (VALUES (0.65::double), (0.85::double), (1.0::double)) m(max_features)
-  UNION ALL BY NAME SELECT 'control' AS pool, 'boosting' AS family, depth, leaf, rate FROM range(1, 4) d(depth), (VALUES (3), (8), (12)) l(leaf), (VALUES (0.03::double), (0.07::double)) r(rate)
-  UNION ALL BY NAME SELECT 'control' AS pool, 'kernel' AS family, length, alpha FROM (VALUES (1.0::double), (2.0::double), (4.0::double)) l(length), (VALUES (0.1::double), (0.3::double), (1.0::double), (3.0::double), (10.0::double), (30.0::double)) a(alpha)
-  UNION ALL BY NAME SELECT 'control' AS pool, 'fixed_ensemble' AS family
-  UNION ALL BY NAME SELECT 'control' AS pool, 'forest_with_trunk' AS family, gamma, strength FROM (VALUES (0.75::double), (0.85::double), (0.95::double)) g(gamma), (VALUES (0.0::double), (0.1::double), (1.0::double)) s(strength))""".replace("range(1, 4) d(depth)", "(VALUES (1), (2), (3)) d(depth)"),
-       "pool family leaf depth", "gamma strength eta max_features rate length alpha")
-def _grid(spark, sf):
-    return V.structural_candidates(spark)

@@ -32,6 +32,15 @@ class Family:
     event_d: Callable[[Column], tuple[Column, Column]]
     censored_d: Callable[[Column], tuple[Column, Column]]
     quantile: Callable[[float], float]
+    # Columns of z that a fit computes once, in this order, and the censored loss with both
+    # derivatives in terms of them.
+    shared: tuple[tuple[str, Callable[[Column], Column]], ...] = ()
+    censored_shared: Callable[[Column], tuple[Column, Column, Column]] | None = None
+
+    def censored_all(self, z: Column) -> tuple[Column, Column, Column]:
+        if self.censored_shared is not None:
+            return self.censored_shared(z)
+        return self.censored(z), *self.censored_d(z)
 
 
 def _normal_censored_d(z: Column) -> tuple[Column, Column]:
@@ -55,6 +64,8 @@ _NORMAL = Family(
     event_d=lambda z: (z, F.lit(1.0)),
     censored_d=_normal_censored_d,
     quantile=normal_quantile,
+    shared=(("_log_sf", log_sf), ("_hazard", lambda z: hazard(z, F.col("_log_sf")))),
+    censored_shared=lambda z: (-F.col("_log_sf"), F.col("_hazard"), F.col("_hazard") * (F.col("_hazard") - z)),
 )
 
 FAMILIES: dict[str, Family] = {

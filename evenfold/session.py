@@ -41,6 +41,12 @@ def settle(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Settle a table that will be read many times; use all cores if it has few partitions."""
+    cores = parallelism(df.sparkSession)
+    return settle(df if df.rdd.getNumPartitions() >= cores else df.repartition(cores), "rows")
+
+
 def with_scalars(df: DataFrame, totals: DataFrame) -> DataFrame:
     """Put the columns of a one-row table on every row, as scalar subqueries."""
     return df.select("*", *[totals.select(c).scalar().alias(c) for c in totals.columns])
