@@ -217,6 +217,16 @@ def _ablation(spark, sf):
     return out.select("model", "estimate", "lo", "hi")
 
 
+@query("factor_paired_gains", f"""WITH g AS (SELECT scenario, model, group_id, sum(w*(pred-y)*(pred-y)) AS e2 FROM {weights('scenario, model', 'is_event', 'fpred')} GROUP BY ALL), pool AS (SELECT o.scenario, o.model, o.group_id, o.e2, m.e2 AS p_e2 FROM g o JOIN g m ON o.scenario = m.scenario AND o.group_id = m.group_id AND m.model = 'line' WHERE o.model <> 'line')
+  SELECT scenario, model, n_groups, sqrt(a)-sqrt(b) AS estimate, lo, hi FROM (SELECT scenario, model, count(*) AS n_groups, avg(e2) AS a, avg(p_e2) AS b FROM pool GROUP BY ALL) JOIN (SELECT scenario, model, quantile_cont(sqrt(e2)-sqrt(p_e2), 0.025) AS lo, quantile_cont(sqrt(e2)-sqrt(p_e2), 0.975) AS hi FROM {draws_sql('pool', 'scenario, model', ['e2', 'p_e2'], 12)} GROUP BY ALL) USING (scenario, model)""",
+       "scenario model n_groups", "estimate lo hi", "fpred")
+def _fpaired(spark, sf):
+    from evenfold.plans.studies import factor_study
+
+    paired = factor_study(S.factor_predictions(spark, sf), "line", REPS, 12)["paired"]
+    return paired.where("effect = 'rmse'").select("scenario", "model", "n_groups", "estimate", "lo", "hi")
+
+
 IV = ("coverage", "width", "interval_score")
 
 

@@ -112,11 +112,19 @@ def row_loss(family: str, y: Column, pred: Column, scale: Column, is_event: Colu
 def row_loss_by_name(family: Column, y: Column, pred: Column, scale: Column, is_event: Column,
                      names: tuple[str, ...] = ("normal", "lognormal", "weibull")) -> Column:
     """Row loss with the family read from a column; null for a name not listed."""
-    name = F.lower(F.trim(family))
-    out = None
+    return _by_family(family, names, lambda n: row_loss(n, y, pred, scale, is_event))
+
+
+def _by_family(family: Column, names: tuple[str, ...], of: Callable[[str], Column]) -> Column:
+    """One branch per distinct family; names of the same family share it."""
+    shared: dict[int, list[str]] = {}
     for n in names:
-        loss = row_loss(n, y, pred, scale, is_event)
-        out = F.when(name == n, loss) if out is None else out.when(name == n, loss)
+        shared.setdefault(id(FAMILIES[n]), []).append(n)
+    name = F.lower(F.trim(family))
+    out: Column | None = None
+    for same in shared.values():
+        test, value = name.isin(*same), of(same[0])
+        out = F.when(test, value) if out is None else out.when(test, value)
     return out
 
 
@@ -126,12 +134,7 @@ def quantile(family: str, pred: Column, scale: Column, p: float) -> Column:
 
 def quantile_by_name(family: Column, pred: Column, scale: Column, p: float,
                      names: tuple[str, ...] = ("normal", "lognormal", "weibull")) -> Column:
-    name = F.lower(F.trim(family))
-    out = None
-    for n in names:
-        q = quantile(n, pred, scale, p)
-        out = F.when(name == n, q) if out is None else out.when(name == n, q)
-    return out
+    return _by_family(family, names, lambda n: quantile(n, pred, scale, p))
 
 
 def interval(pred: Column, half_width: Column) -> tuple[Column, Column]:

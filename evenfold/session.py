@@ -41,10 +41,14 @@ def settle(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Settle a table that will be read many times; use all cores if it has few partitions."""
+def spread(df: DataFrame, label: str = "rows") -> DataFrame:
+    """Settle a table that will be read many times, in enough files to use all cores.
+
+    Only a table that was written in few files is written again, and such a table is small.
+    """
     cores = parallelism(df.sparkSession)
-    return settle(df if df.rdd.getNumPartitions() >= cores else df.repartition(cores), "rows")
+    out = settle(df, label)
+    return out if out.rdd.getNumPartitions() >= cores else settle(out.repartition(cores), label)
 
 
 def with_scalars(df: DataFrame, totals: DataFrame) -> DataFrame:
