@@ -135,10 +135,16 @@ def _differences(spark, sf):
     return left.unionByName(b.exceptAll(a).select(F.lit("right").alias("side"), "equiv_id"))
 
 
+def _nearest_sql() -> str:
+    from evenfold.checks.audit_checks import support_sql
+
+    return support_sql()
+
+
 SUP_NUM = ["temp_c", "r_ratio", "freq", "s_level"]
 
 
-@query("nearest_point", None)
+@query("nearest_point", f"SELECT row_id, fold, nearest_distance FROM ({_nearest_sql()})", "row_id fold", "nearest_distance", "recf")
 def _nearest_point(spark, sf):
     return _support(spark, sf).select("row_id", "fold", "nearest_distance")
 
