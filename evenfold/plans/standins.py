@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from evenfold.functions import families
 from evenfold.operators import folds as fold_ops
 from evenfold.operators.fit.closed_form import complement_line, complement_means, complement_spread
-from evenfold.session import settle, spread
+from evenfold.session import settle, spread, still_there
 
 # Base seed, used as a hash salt, and the number of outer folds.
 SEED = 20260824
@@ -90,7 +90,7 @@ _SETTLED: dict[tuple[str, str, str], DataFrame] = {}
 def _once(spark: SparkSession, sf: str, what: str, build) -> DataFrame:
     """Fact tables are written once per application and data folder, then read by every query."""
     key = (spark.sparkContext.applicationId, sf, what)
-    if key not in _SETTLED:
+    if key not in _SETTLED or not still_there(_SETTLED[key]):
         _SETTLED[key] = spread(build(), what)
     return _SETTLED[key]
 

@@ -41,6 +41,13 @@ def settle(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def still_there(df: DataFrame) -> bool:
+    """Whether the files of a settled table still exist."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0])
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def spread(df: DataFrame, label: str = "rows") -> DataFrame:
     """Settle a table that will be read many times, in enough files to use all cores.
 
