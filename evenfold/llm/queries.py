@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenfold.llm import adaptive_rules, decontaminate
+from evenfold.llm import adaptive_rules, decontaminate, packing, token_files
 from evenfold.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,24 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adaptive_rules.judge(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def tokenizer_file(name: str) -> str:
+    """Where the public vocabulary file lies on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@registered("op5_token_files")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    path = token_files.new_folder(docs, "tokens")
+    token_files.write(docs, path, tokenizer_file("byte_bpe_50k.json"))
+    rows = token_files.digests(token_files.read(spark, path, "doc_id", "n_tokens", "ids"))
+    return token_files.with_starts(rows, token_files.read(spark, path, "n_tokens")).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@registered("op9_best_fit_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
