@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenfold.llm import adaptive_rules, decontaminate, packing, token_files
-from evenfold.llm.common import documents
+from evenfold.llm import adaptive_rules, decontaminate, packing, pairwise_quality, token_files
+from evenfold.llm.common import documents, remainder_of_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -57,3 +57,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("op9_best_fit_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+
+
+@registered("op4_pairwise_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = remainder_of_id(F.col("doc_id"), 3) == 1
+    model = pairwise_quality.fit(docs, labels, ~held_out)
+    return pairwise_quality.scored(docs, model).select(
+        "doc_id", held_out.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
