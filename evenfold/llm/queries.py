@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenfold.llm import adaptive_rules, decontaminate, packing, pairwise_quality, token_files
+from evenfold.llm import adaptive_rules, decontaminate, disclosure, packing, pairwise_quality, sketch_dedup, token_files
 from evenfold.llm.common import documents, remainder_of_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,17 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pairwise_quality.fit(docs, labels, ~held_out)
     return pairwise_quality.scored(docs, model).select(
         "doc_id", held_out.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+
+
+@registered("op8_similarity_sketch_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch_dedup.near_duplicates(documents(spark, sf_dir), shingle=4).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+@registered("op3_disclosure_sanitisation")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = disclosure.spans(documents(spark, sf_dir))
+    counts = [F.size(F.filter(F.col("base.kind"), lambda k: k == F.lit(disclosure.KINDS.index(name)))).cast("long").alias(f"n_{name}") for name in disclosure.KINDS[:4]]
+    return found.select(
+        F.col("k").alias("doc_id"), *counts, F.sha2(disclosure.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        disclosure.listed(disclosure.all_spans()).alias("spans"), F.size("terms").cast("long").alias("n_terms"))
