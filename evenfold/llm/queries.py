@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenfold.llm import adaptive_rules, decontaminate, disclosure, packing, pairwise_quality, sketch_dedup, token_files
+from evenfold.llm import adaptive_rules, chat, decontaminate, disclosure, packing, pairwise_quality, sketch_dedup, token_files, trie_counts
 from evenfold.llm.common import documents, remainder_of_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("k").alias("doc_id"), *counts, F.sha2(disclosure.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         disclosure.listed(disclosure.all_spans()).alias("spans"), F.size("terms").cast("long").alias("n_terms"))
+
+
+@registered("op2_snapshot_collapse")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapsed(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@registered("op7_trie_token_counts")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_counts.token_counts(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
