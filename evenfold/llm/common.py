@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +56,39 @@ def bounded_batches(frames, text: str, limit: int = 6_000_000):
         block = np.cumsum(sizes) // limit
         for b in np.unique(block):
             yield frame[block == b]
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Tables of so many numbers may be broadcast: some megabytes. Larger ones are shuffled.
+BROADCAST_NUMBERS = 500_000
+
+
+def small_side(df: DataFrame, n: int) -> DataFrame:
+    """``df``, marked for broadcast if ``n``, the numbers it holds, is small."""
+    return F.broadcast(df) if n <= BROADCAST_NUMBERS else df
+
+
+def matching(docs: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """Semi or anti join of documents with a one-column settled table of ids."""
+    name = fresh(docs, "_id")
+    return docs.join(small_side(ids.toDF(name), ids.count()), F.col(key) == F.col(name), how)
+
+
+def runs(texts: pa.Array, limit: int = 6_000_000):
+    """Texts in runs of about ``limit`` characters."""
+    run, size = [], 0
+    for t in texts:
+        run.append(t.as_py())
+        size += len(run[-1] or "")
+        if size >= limit:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run

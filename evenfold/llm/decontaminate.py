@@ -20,10 +20,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenfold.llm.common import bounded_batches
+from evenfold.llm.common import bounded_batches, runs
 from evenfold.session import settle
 
 #: Everything but ASCII digits, letters and bytes of longer characters becomes a space; A-Z is lowered.
@@ -31,6 +32,7 @@ WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
 
+BLOCK_CHARS = 4_000_000
 MATCH = "struct<doc_start: bigint, length: bigint, item_id: bigint, item_start: bigint>"
 
 
@@ -118,37 +120,45 @@ def shard_matches(texts: list, test: TestSuffixes) -> tuple[list[int], list[list
     return sizes, [longest(f) if f else [] for f in found]
 
 
-def matches(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
-            width: int = 10, block_chars: int = 4_000_000) -> DataFrame:
-    """(key, n_words, matches) for every document: all longest verbatim matches with their places.
-
-    The benchmark is taken in blocks of about ``block_chars`` characters, one after
-    the other, so what a task holds of it is bounded; each block searches all
-    documents. Nothing is shuffled: a shard is searched where its documents lie.
-    """
+def item_blocks(bench: DataFrame, item: str, item_text: str, block_chars: int):
+    """The benchmark's (id, text) rows in blocks of about ``block_chars`` characters, one block at a time."""
     items = bench.select(F.col(item).cast("long").alias("item"), F.col(item_text).alias("body"))
     total = items.agg(F.sum(F.length("body"))).first()[0] or 0
     blocks = 1 + total // block_chars
-    out = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.lit(0).cast("long").alias("n"), F.expr(f"cast(array() as array<{MATCH}>)").alias("m"))
-    schema = out.select("k", "t", "n", "m").schema
     for b in range(blocks):
-        block = [tuple(r) for r in items.where(F.pmod(F.xxhash64("body"), F.lit(blocks)) == b).collect()]
-        last = b == blocks - 1
+        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("body"), F.lit(blocks)) == b).collect()], b == blocks - 1
 
-        def search(frames, block=block, last=last):
-            test = TestSuffixes(block, width)
-            for frame in bounded_batches(frames, "t"):
-                sizes, found = shard_matches(frame["t"].tolist(), test)
-                before = [[tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in m] for m in frame["m"]]
-                rows = [[dict(zip(("doc_start", "length", "item_id", "item_start"), x)) for x in a + f] for a, f in zip(before, found)]
-                yield pd.DataFrame({"k": frame["k"], "t": None if last else frame["t"], "n": sizes, "m": rows})
 
-        out = out.mapInPandas(search, schema)
+def matches(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
+            width: int = 10, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(key, n_words, matches) for every document: all longest verbatim matches with their places.
+
+    The benchmark is taken in blocks, one after the other, so what a task holds of
+    it is bounded; each block searches all documents. Nothing is shuffled: a shard
+    is searched where its documents lie.
+    """
+    out = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.lit(0).cast("long").alias("n"), F.expr(f"cast(array() as array<{MATCH}>)").alias("m"))
+    for block, last in item_blocks(bench, item, item_text, block_chars):
+        out = out.mapInPandas(searching(block, width, last), out.schema)
         if not last:
             out = settle(out, "matches")
     return out.select(F.col("k").alias(key), F.col("n").alias("n_words"), F.col("m").alias("matches"))
 
 
+def searching(block: list, width: int, last: bool):
+    """A pass over documents that adds their matches with one block of the benchmark; the last pass drops the texts."""
+    names = ("doc_start", "length", "item_id", "item_start")
+
+    def search(frames):
+        test = TestSuffixes(block, width)
+        for frame in bounded_batches(frames, "t"):
+            sizes, found = shard_matches(frame["t"].tolist(), test)
+            rows = [[*before, *[dict(zip(names, x)) for x in new]] for before, new in zip(frame["m"], found)]
+            yield pd.DataFrame({"k": frame["k"], "t": None if last else frame["t"], "n": sizes, "m": rows})
+
+    return search
+
+
 def contamination(found: DataFrame) -> DataFrame:
     """n_hit, items (distinct ids, in the order of their texts) and contaminated, from the matches of each document."""
     def reach(acc, m):
@@ -166,7 +176,23 @@ def contamination(found: DataFrame) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents without a match, with all their columns."""
-    tainted = contamination(matches(docs, bench, key, text, **options)).where("contaminated").select(F.col(key).alias("_tainted")).distinct()
-    return docs.join(tainted, F.col(key) == F.col("_tainted"), "left_anti")
+def clean(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", width: int = 10, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The documents without a match, with all their columns; documents are filtered where they lie."""
+    schema, body = docs.schema, docs.columns.index(text)
+
+    def keeping(block):
+        def keep(batches):
+            test = TestSuffixes(block, width)
+            for batch in batches:
+                free = []
+                for run in runs(batch.column(body)):
+                    free += [not m for m in shard_matches(run, test)[1]]
+                yield batch.filter(pa.array(free, pa.bool_()))
+
+        return keep
+
+    for block, last in item_blocks(bench, item, item_text, block_chars):
+        docs = docs.mapInArrow(keeping(block), schema)
+        if not last:
+            docs = settle(docs, "clean")
+    return docs

@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenfold.llm.common import let
+from evenfold.llm.common import fresh, let, small_side
 from evenfold.session import settle
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -157,29 +157,36 @@ def all_spans() -> Column:
 def sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text", remove: float = REMOVE, **options) -> DataFrame:
     """The documents with their columns, each span replaced: base spans and weaker terms by a label, strong terms by nothing.
 
-    Overlapping spans are one replacement, labelled by the first of them.
+    Overlapping spans are one replacement, labelled by the first of them. Base spans
+    are found again in the row itself, so only the few term spans are joined.
     """
-    found = spans(docs, key, text, **options).where((F.size("base") > 0) | (F.size("terms") > 0)).dropDuplicates(["k", "h"])
-    labels = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    base = F.transform("base", lambda p: F.struct(p["s"].alias("s"), p["e"].alias("e"), F.get(labels, p["kind"]).alias("label")))
-    terms = F.transform("terms", lambda p: F.struct(p["s"].alias("s"), p["e"].alias("e"), F.when(p["level"] >= remove, F.lit("")).otherwise(F.get(labels, p["kind"])).alias("label")))
+    strong = settle(spans(docs, key, text, **options).where(F.size("terms") > 0).select("k", "h", "terms").dropDuplicates(["k", "h"]), "terms")
+    size = strong.agg(F.coalesce(F.sum(2 + 4 * F.size("terms")), F.lit(0))).first()[0]
+    k, h, terms, cuts = (fresh(docs, x) for x in ("_k", "_h", "_terms", "_cuts"))
+    near = small_side(strong.toDF(k, h, terms), size)
+    rows = docs.join(near, F.col(key).eqNullSafe(F.col(k)) & (F.xxhash64(text) == F.col(h)), "left")
+    labels = F.array(*[F.lit(f"[{x.upper()}]") for x in KINDS])
+    t = F.coalesce(F.col(text), F.lit(""))
+
+    def base(kind: int) -> Column:
+        return F.transform(located(t, PATTERNS[KINDS[kind]], VALID[KINDS[kind]]), lambda p: F.struct(p["s"].alias("s"), F.lit(kind).alias("kind"), p["e"].alias("e"), F.get(labels, F.lit(kind)).alias("label")))
+
+    added = F.transform(F.coalesce(F.col(terms), F.expr("cast(array() as array<struct<s: bigint, kind: int, e: bigint, level: double>>)")),
+                        lambda p: F.struct(p["s"].alias("s"), p["kind"].alias("kind"), p["e"].alias("e"), F.when(p["level"] >= remove, F.lit("")).otherwise(F.get(labels, p["kind"])).alias("label")))
 
     def merge(acc: Column, p: Column) -> Column:
         last = F.get(acc, F.size(acc) - 1)
-        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], p["e"]).alias("e"), last["label"].alias("label"))))
-        return F.when((F.size(acc) > 0) & (last["e"] > p["s"]), grown).otherwise(F.concat(acc, F.array(p)))
+        longer = F.struct(last["s"].alias("s"), last["kind"].alias("kind"), F.greatest(last["e"], p["e"]).alias("e"), last["label"].alias("label"))
+        return F.when(F.coalesce(last["e"] > p["s"], F.lit(False)), F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(acc, F.array(p)))
 
-    merged = F.aggregate(F.array_sort(F.concat(base, terms)), F.expr("cast(array() as array<struct<s: bigint, e: bigint, label: string>>)"), merge)
-    plan = found.select(F.col("k").alias("_k"), F.col("h").alias("_h"), merged.alias("_cuts"))
-    joined = docs.withColumn("_hash", F.xxhash64(text)).join(plan, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h")), "left")
+    merged = F.aggregate(F.array_sort(F.concat(*map(base, range(4)), added)), F.expr("cast(array() as array<struct<s: bigint, kind: int, e: bigint, label: string>>)"), merge)
 
-    def rewritten(cuts: Column) -> Column:
+    def rewritten(spans_: Column) -> Column:
         def piece(p: Column, i: Column) -> Column:
-            at = F.when(i > 0, F.get(cuts, i - 1)["e"]).otherwise(F.lit(0).cast("long"))
-            return F.concat(F.substring(F.col(text), (at + 1).cast("int"), (p["s"] - at).cast("int")), p["label"])
+            at = F.coalesce(F.get(spans_, i - 1)["e"], F.lit(0).cast("long"))
+            return F.concat(F.substring(t, (at + 1).cast("int"), (p["s"] - at).cast("int")), p["label"])
 
-        tail = F.substring(F.col(text), (F.get(cuts, F.size(cuts) - 1)["e"] + 1).cast("int"), F.length(text))
-        return F.concat(F.array_join(F.transform(cuts, piece), ""), tail)
+        tail = F.substring(t, (F.get(spans_, F.size(spans_) - 1)["e"] + 1).cast("int"), F.length(t))
+        return F.when(F.size(spans_) == 0, F.col(text)).otherwise(F.concat(F.array_join(F.transform(spans_, piece), ""), tail))
 
-    new = F.when(F.size("_cuts") > 0, let(F.col("_cuts"), rewritten)).otherwise(F.col(text))
-    return joined.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns])
+    return rows.select(*[let(merged, rewritten).alias(c) if c == text else F.col(c) for c in docs.columns])

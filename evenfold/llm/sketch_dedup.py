@@ -29,14 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenfold.llm.common import lower_space_words, mixed
+from evenfold.llm.common import lower_space_words, matching, mixed, runs
 from evenfold.session import settle
 
 BINS = 128
 BAND_ROWS = 4
 PIVOT_ROUNDS = 6
-#: Ids of so many candidates may be broadcast (8 bytes each); above that they are shuffled.
-BROADCAST_IDS = 500_000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Odd multipliers that tell the places of a shingle apart.
 PLACES = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -84,19 +82,6 @@ def band_hashes(sketch: np.ndarray, rows: int = BAND_ROWS) -> np.ndarray:
     return total.view(np.int64)
 
 
-def runs(texts: pa.Array, limit: int = 1_000_000):
-    """Texts in runs of about ``limit`` characters."""
-    run, size = [], 0
-    for t in texts:
-        run.append(t.as_py())
-        size += len(run[-1] or "")
-        if size >= limit:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
-
-
 def sketched(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     """(k, n, f1, f2, bands): shingle count, 128-bit fingerprint of the set, and band hashes (none for an empty set)."""
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
@@ -104,7 +89,7 @@ def sketched(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     def apply(batches):
         for batch in batches:
             n, f1, f2, bands = [], [], [], []
-            for run in runs(batch.column("t")):
+            for run in runs(batch.column("t"), 1_000_000):
                 sets = [shingle_set(t, shingle) for t in run]
                 hashes = band_hashes(similarity_sketches(sets))
                 for s, h in zip(sets, hashes):
@@ -121,9 +106,7 @@ def sketched(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
 
 def full_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     """(k, n, s): shingle sets of the rows whose key is in ``ids``."""
-    wanted = ids.select(F.col("k").alias("_wanted"))
-    wanted = F.broadcast(wanted) if ids.count() <= BROADCAST_IDS else wanted
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).join(wanted, F.col("k") == F.col("_wanted"), "left_semi")
+    rows = matching(docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")), ids, "k", "left_semi")
 
     def apply(batches):
         for batch in batches:
@@ -223,3 +206,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     if labels is not None:
         rows = rows.join(labels.select(F.col("k").alias("rep"), "label"), "rep", "left").withColumn("rep", F.coalesce("label", "rep"))
     return rows.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.col("rep").alias("component_id"))
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each component, that with the smallest key, with all its columns.
+
+    Equal rows of one key are copies, of which one stays; rows without key all stay.
+    """
+    found = settle(near_duplicates(docs, key, text, shingle, percent).select(F.col(key).alias("k"), "component_id"), "components")
+    kept = matching(docs, settle(found.where("k <> component_id").select("k").distinct(), "dropped"), key, "left_anti")
+    repeated = settle(found.where("k IS NOT NULL").groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    return matching(kept, repeated, key, "left_anti").unionByName(matching(kept, repeated, key, "left_semi").dropDuplicates([key, text]))
