@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -9,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evenfold.session import parallelism, settle, shared_folder
+
 #: ASCII white space as a character class of Java and of Python's ``re``.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 SPACES = " \t\n\x0b\f\r"
@@ -92,3 +95,26 @@ def runs(texts: pa.Array, limit: int = 6_000_000):
             run, size = [], 0
     if run:
         yield run
+
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settled_clean(df: DataFrame, label: str) -> DataFrame:
+    """``settle``, after which the shuffle files of the write are removed: the table replaces them."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return settle(df, label)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Settle ``df`` in buckets of ``key``, so that grouping it with another table moves only the other."""
+    spark = df.sparkSession
+    name = f"evenfold_{uuid.uuid4().hex}"
+    cores = max(parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.bucketBy(cores, key).sortBy(key).option("path", f"{shared_folder(spark)}/evenfold/{name}").saveAsTable(name)
+    return spark.table(name)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenfold.llm import adaptive_rules, chat, decontaminate, disclosure, packing, pairwise_quality, sketch_dedup, token_files, trie_counts
+from evenfold.llm import adaptive_rules, chat, decontaminate, disclosure, katz, packing, pairwise_quality, sketch_dedup, token_files, trie_counts
 from evenfold.llm.common import documents, remainder_of_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("op7_trie_token_counts")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_counts.token_counts(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
+
+
+@registered("op1_katz_backoff")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return katz.scored(docs, remainder_of_id(F.col("doc_id"), 5) != 1).select(
+        "doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
