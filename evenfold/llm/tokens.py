@@ -13,10 +13,9 @@ import re
 
 from tokenizers import Tokenizer
 
-#: White space beside a space: there the byte-level pre-tokenizer may join it to a run.
-_RUN = re.compile(r"^ | $|\s | \s")
+#: White space beside a space may belong to a run, which the byte-level pre-tokenizer keeps together.
+_OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
-_LINES = str.maketrans("\n\t\r", "   ")
 #: Letters that both tokenizers keep together and that no normaliser recomposes, then marks of one pre-token.
 _PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([,.;:!?*#%$&|]*)")
 
@@ -24,11 +23,10 @@ CACHE_WORDS = 700_000
 CACHED_LENGTH = 40
 
 
-def byte_letters() -> list[str]:
-    """The printable character that byte-level vocabularies use for each byte."""
-    own = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
+def byte_letters() -> dict[int, str]:
+    """The printable characters that byte-level vocabularies use for bytes that are none themselves."""
     others = iter(range(256, 512))
-    return [chr(b) if b in own else chr(next(others)) for b in range(256)]
+    return {b: chr(next(others)) for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)}
 
 
 class WordEncoder(dict):
@@ -47,22 +45,52 @@ class WordEncoder(dict):
         self.letters = byte_letters()
         self.leading_space = leading_space
         self.space = self.letters[32] if leading_space else ""
+        self.marks: dict[str, bytes] = {"": b""}
+        self.bare: dict[str, bytes] = {}
+        self.line = self._whole("\n")
 
     def _pre_token(self, piece: str, space: str = "") -> bytes:
         if not piece.isascii():
-            piece = "".join([self.letters[b] for b in piece.encode()])
+            piece = piece.encode().decode("latin-1").translate(self.letters)
         return b"".join([self.packed[t.id] for t in self.merges.tokenize(space + piece)])
 
     def _whole(self, text: str) -> bytes:
         return b"".join([self.packed[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
+    def _marks(self, marks: str) -> bytes:
+        ids = self.marks.get(marks)
+        if ids is None:
+            ids = self._pre_token(marks)
+            if len(self.marks) < 1000:
+                self.marks[marks] = ids
+        return ids
+
+    def _bare(self, word: str) -> bytes:
+        """A word at the beginning of a text or line, with no space before it."""
+        ids = self.bare.get(word)
+        if ids is None:
+            plain = _PLAIN.fullmatch(word)
+            ids = self._pre_token(plain[1]) + self._marks(plain[2]) if plain else self._whole(word)
+            if len(word) <= CACHED_LENGTH and len(self.bare) < CACHE_WORDS // 10:
+                self.bare[word] = ids
+        return ids
+
     def __missing__(self, word: str) -> bytes:
         plain = _PLAIN.fullmatch(word)
         if plain:
             letters, marks = plain.groups()
-            ids = self._pre_token(letters if self.leading_space else letters.lower(), self.space) + (self._pre_token(marks) if marks else b"")
-        else:
-            ids = self._whole(" " + word if self.leading_space else word)
+            if not self.leading_space:
+                letters = letters.lower()
+            if letters == word:
+                return self._keep(word, self._pre_token(letters, self.space))
+            return self._keep(word, self[letters] + self._marks(marks))
+        if self.leading_space:
+            lines = word.split("\n")
+            if len(lines) > 1 and all(x and not (x[0].isspace() or x[-1].isspace()) for x in lines):
+                return self._keep(word, self[lines[0]] + b"".join([self.line + self._bare(x) for x in lines[1:]]))
+        return self._keep(word, self._whole(" " + word if self.leading_space else word))
+
+    def _keep(self, word: str, ids: bytes) -> bytes:
         if len(word) <= CACHED_LENGTH and len(self) < CACHE_WORDS:
             self[word] = ids
         return ids
@@ -72,9 +100,11 @@ class WordEncoder(dict):
         if not text:
             return b""
         if not self.leading_space:
-            return b"".join(map(self.__getitem__, [w for w in text.translate(_LINES).split(" ") if w]))
-        head, *rest = _SINGLE.split(text) if _RUN.search(text) else text.split(" ")
-        return self._whole(head) + b"".join(map(self.__getitem__, rest))
+            return b"".join(map(self.__getitem__, filter(None, text.replace("\n", " ").split(" "))))
+        beside = [" ", *[c for c in _OTHER_SPACES if c in text]]
+        runs = text[0] == " " or text[-1] == " " or any(f" {c}" in text or f"{c} " in text for c in beside)
+        head, *rest = _SINGLE.split(text) if runs else text.split(" ")
+        return self._bare(head) + b"".join(map(self.__getitem__, rest))
 
 
 _ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
