@@ -27,11 +27,12 @@ from evenfold.session import settle
 
 KINDS = ("email", "ip", "card", "phone", "term")
 
-#: The same leftmost matches as the plain patterns, but a run of characters that cannot match is tried once only.
+#: The same leftmost matches as the plain patterns. A run of characters that cannot match is tried once only, and
+#: possessive groups, after which nothing follows, are matched in a loop: a greedy group recurses once per repetition.
 PATTERNS = {
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
-    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = r"\p{L}+"
