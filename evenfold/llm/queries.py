@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenfold.llm import adaptive_rules, chat, decontaminate, disclosure, katz, packing, pairwise_quality, sketch_dedup, token_files, trie_counts
+from evenfold.llm import adaptive_rules, chat, decontaminate, disclosure, katz, oracles, packing, pairwise_quality, sketch_dedup, token_files, trie_counts
 from evenfold.llm.common import documents, remainder_of_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,7 +23,7 @@ def registered(name: str, sql: str | None = None):
     return wrap
 
 
-@registered("op6_suffix_array_decontamination")
+@registered("op6_suffix_array_decontamination", oracles.LEAKS)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(decontaminate.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
     return found.select(
@@ -32,7 +32,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@registered("op10_adaptive_quality_rules")
+@registered("op10_adaptive_quality_rules", oracles.quality_rules(adaptive_rules.RULES, adaptive_rules.LEAST_GROUP, adaptive_rules.SYMBOLS))
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adaptive_rules.judge(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -69,7 +69,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
 
 
-@registered("op8_similarity_sketch_dedup")
+@registered("op8_similarity_sketch_dedup", oracles.NEAR)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch_dedup.near_duplicates(documents(spark, sf_dir), shingle=4).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -83,7 +83,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         disclosure.listed(disclosure.all_spans()).alias("spans"), F.size("terms").cast("long").alias("n_terms"))
 
 
-@registered("op2_snapshot_collapse")
+@registered("op2_snapshot_collapse", oracles.CHAT)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapsed(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
