@@ -65,7 +65,7 @@ def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     return (((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
-def blocks(docs: DataFrame, key: str, text: str, learn: Column) -> DataFrame:
+def blocks(docs: DataFrame, key: str, text: str, learn: Column, block_chars: int) -> DataFrame:
     """Token blocks: keys, training flags and lengths of the texts; sorted word hashes, their training counts, and the words of all texts in a row."""
     rows = docs.select(F.col(key).alias("k"), learn.alias("learn"), F.col(text).alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
@@ -100,7 +100,7 @@ def blocks(docs: DataFrame, key: str, text: str, learn: Column) -> DataFrame:
                         part.append(x)
                     i += 1
                     size += len(body or "")
-                if size >= BLOCK_CHARS:
+                if size >= block_chars:
                     yield flush()
                     block, held, hashes, size = block + 1, [[], [], []], [], 0
         if hashes:
@@ -152,14 +152,14 @@ class Level:
 class Block:
     """One block and, order by order, what it has been told."""
 
-    def __init__(self, row, words_seen: int, total: int):
+    def __init__(self, row, facts: dict):
         self.sizes = np.array(row["sizes"], dtype=np.int64)
         self.learn = np.repeat(np.array(row["learn"], dtype=bool), self.sizes)
         self.words = unpacked(row["words"], np.uint64)
         self.tokens = unpacked(row["tokens"], np.uint32).astype(np.int64)
         self.first = np.cumsum(self.sizes) - self.sizes
-        self.scale = total + 0.5 * (words_seen + 1)
-        self.total = total
+        self.scale = facts["total"] + 0.5 * (facts["seen"] + 1)
+        self.hot = np.uint64(facts["hot"])
 
     def unigrams(self, answers: pd.DataFrame) -> Level:
         counts = np.concatenate([unpacked(x, np.uint64) for x in answers.sort_values("part")["a"]])
@@ -182,7 +182,7 @@ class Block:
         """The n-grams above ``low`` by partition: (order, bounds, contexts by partition)."""
         context, word, one, at = self.grams(low)
         hashes, counts = self.contexts(low)
-        spread = 1 + (counts // np.uint64(max(HOT_EVENTS, int(HOT_SHARE * self.total)))).astype(np.int64)
+        spread = 1 + (counts // self.hot).astype(np.int64)
         salt = (self.words[word] % spread[context].astype(np.uint64))
         part = part_of(mixed(hashes[context] * CONTEXT + salt), parts)
         order = np.argsort(part, kind="stable")
@@ -210,7 +210,7 @@ def split_by_part(block: Block, low: Level, parts: int):
 
 def upto(row, told: pd.DataFrame, order: int, parts: int, facts: dict) -> tuple[Block, Level]:
     """The block with all levels up to ``order``, from the answers it was given."""
-    block = Block(row, facts["seen"], facts["total"])
+    block = Block(row, facts)
     level = block.unigrams(told[told["n"] == 1])
     for n in range(2, order + 1):
         answers = {int(r["part"]): r for r in told[told["n"] == n].to_dict("records")}
@@ -298,15 +298,16 @@ def gram_counts(table: DataFrame, told: DataFrame, n: int, parts: int, facts: di
     return settled_clean(asked.groupBy("part").applyInPandas(add, ANSWER), f"grams{n}")
 
 
-def scored(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
+def scored(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", order: int = ORDER,
+           block_chars: int = BLOCK_CHARS, part_entries: int = PART_ENTRIES, hot_events: int = HOT_EVENTS) -> DataFrame:
     """(key, learn, n_tokens, n_known, train_tokens, base_score, score) of every row; learns from the rows where ``learn`` holds."""
     kind = docs.select(key).schema[0].dataType.simpleString()
-    table = blocks(docs, key, text, learn)
+    table = blocks(docs, key, text, learn, block_chars)
     size = table.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b)), F.lit(0))).first()[0]
-    parts = 1 + size // PART_ENTRIES
+    parts = 1 + size // part_entries
     tables = [word_counts(table, parts)]
     model = tables[0].where("block = -1").agg(F.coalesce(F.sum("seen"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    facts = {"seen": model[0], "total": model[1], "discounts": {}}
+    facts = {"seen": model[0], "total": model[1], "hot": max(hot_events, int(HOT_SHARE * model[1])), "discounts": {}}
     told = tables[0].where("block >= 0")
     for n in range(2, order + 1):
         tables.append(gram_counts(table, told, n, parts, facts))
