@@ -237,16 +237,16 @@ def _excl(spark, sf):
     return M.point_metrics(rows, ["variant", "model"])
 
 
-@query("result_diff", """WITH a AS (SELECT * FROM pred WHERE model = 'line'), b AS (SELECT * FROM pred WHERE model = 'line' AND n_lines < 7), j AS (SELECT a.row_id, b.row_id IS NULL AS miss, a.y, a.n_lines FROM a LEFT JOIN b USING (row_id))
+@query("result_diff", """WITH a AS (SELECT * FROM pred), b AS (SELECT * FROM pred WHERE n_lines < 7), j AS (SELECT a.row_id, b.row_id IS NULL AS miss, a.y, a.n_lines FROM a LEFT JOIN b USING (row_id, model))
   SELECT '_rows' AS "column", false AS "numeric", count(*) AS n_compared, sum(miss::int)::BIGINT AS n_different, NULL::double AS max_abs_difference, sum(miss::int) = 0 AS passed FROM j
   UNION ALL SELECT 'y', true, count(*), sum((n_lines = 2)::int)::BIGINT, 0.001::double, sum((n_lines = 2)::int) = 0 FROM j WHERE NOT miss
-  UNION ALL SELECT 'fold', true, count(*), 0, 0.0::double, true FROM j WHERE NOT miss UNION ALL SELECT 'group_id', false, count(*), 0, NULL, true FROM j WHERE NOT miss""".replace('"column", false AS "numeric"', '"column", false AS "numeric"'),
+  UNION ALL SELECT 'fold', true, count(*), 0, 0.0::double, true FROM j WHERE NOT miss UNION ALL SELECT 'group_id', false, count(*), 0, NULL, true FROM j WHERE NOT miss""",
        '"column" "numeric" n_compared n_different passed', "max_abs_difference", "pred")
 def _diff(spark, sf):
-    p = S.predictions(spark, sf).where("model = 'line'")
-    a = p.select("row_id", "y", "fold", "group_id")
-    b = p.where("n_lines < 7").select("row_id", F.when(c("n_lines") == 2, c("y") + 0.001).otherwise(c("y") + 1e-12).alias("y"), "fold", "group_id")
-    return D.compare(a, b, ["row_id"])
+    p = S.predictions(spark, sf)
+    a = p.select("row_id", "model", "y", "fold", "group_id")
+    b = p.where("n_lines < 7").select("row_id", "model", F.when(c("n_lines") == 2, c("y") + 0.001).otherwise(c("y") + 1e-12).alias("y"), "fold", "group_id")
+    return D.compare(a, b, ["row_id", "model"])
 
 
 @query("unkeyed_diff", """WITH a AS (SELECT group_id, env_class, n_lines FROM rec), b AS (SELECT group_id, env_class, CASE WHEN n_lines = 7 THEN 6 ELSE n_lines END AS n_lines FROM rec)

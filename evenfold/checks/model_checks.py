@@ -10,6 +10,7 @@ from pyspark.sql import types as ST
 
 from evenfold.checks.registry import query
 from evenfold.functions import families as L
+from evenfold.functions import normal as NM
 from evenfold.functions import text as X
 from evenfold.operators import features as FE
 from evenfold.operators import folds as FO
@@ -157,19 +158,35 @@ def _custom(spark, sf):
     return LK.parameter_table(spark, LK.fit(S.folded(spark, sf), tasks, model, "loglogistic", TR.leave_fold_out(), ["fold"]), ("a", "b"))
 
 
-@query("calibrated_scales")
+def _zoom_sql(levels: int = 7, cells: int = 32) -> str:
+    """SQL that closes in on the zero of the slope of the mean normal loss in ln(scale), a grid at a time."""
+    z = "((y-pred)/exp(ls))"
+    slope = f"avg(CASE WHEN is_event THEN 1 - {z}*{z} ELSE -{z}*exp(-0.5::double*{z}*{z} - {NM.HALF_LOG_2PI!r}::double - ({NM.log_sf_sql(z)})) END)"
+    parts = [f"z0 AS (SELECT model, count(*) AS n_train, {TR.LN_SCALE[0]!r}::double AS lo, {TR.LN_SCALE[1] - TR.LN_SCALE[0]!r}::double / {cells} AS st FROM pred GROUP BY model)"]
+    for i in range(levels):
+        parts.append(f"g{i} AS (SELECT model, n_train, st, ls, {slope} AS g FROM (SELECT pred.*, n_train, st, lo + i * st AS ls FROM pred JOIN z{i} ON pred.model = z{i}.model, range({cells}) t(i)) GROUP BY model, n_train, st, ls)")
+        parts.append(f"z{i + 1} AS (SELECT model, n_train, max(ls) FILTER (WHERE g < 0) AS lo, st / {cells} AS st FROM g{i} GROUP BY model, n_train, st)")
+    return f"WITH {', '.join(parts)} SELECT model, n_train, exp(lo) AS scale, false AS at_bound, true AS converged FROM z{levels}"
+
+
+@query("calibrated_scales", _zoom_sql(), "model n_train at_bound converged", "scale", "pred")
 def _cal(spark, sf):
-    return TR.calibrate_scales(S.predictions(spark, sf), ["model"], "normal")
+    return TR.calibrate_scales(S.predictions(spark, sf), ["model"], "normal").select("model", "n_train", "scale", "at_bound", "converged")
 
 
 @query("mapped_fits", "SELECT env_class, sum(n*m)/sum(n) AS weighted_mean, stddev_samp(m) AS group_sd FROM (SELECT env_class, group_id, count(*)::double AS n, avg(y) AS m FROM rec GROUP BY ALL) GROUP BY env_class", "env_class", "weighted_mean group_sd", "rec")
 def _mapped(spark, sf):
     stats = S.records(spark, sf).groupBy("env_class", "group_id").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("y").alias("m"))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"env_class": [pdf["env_class"].iloc[0]], "weighted_mean": [(pdf["n"] * pdf["m"]).sum() / pdf["n"].sum()], "group_sd": [pdf["m"].std()]})
+    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"env_class": [pdf["env_class"].iloc[0]], "w": [pdf["n"].sum()], "wm": [(pdf["n"] * pdf["m"]).sum()], "k": [float(len(pdf))], "s": [pdf["m"].sum()], "ss": [(pdf["m"] ** 2).sum()]})
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = pdf.drop(columns="env_class").sum()
+        sd = math.sqrt(max(t["ss"] - t["s"] ** 2 / t["k"], 0.0) / (t["k"] - 1)) if t["k"] > 1 else None
+        return pd.DataFrame({"env_class": [pdf["env_class"].iloc[0]], "weighted_mean": [t["wm"] / t["w"]], "group_sd": [sd]})
 
-    return MP.map_tasks(stats, ["env_class"], fit, "env_class string, weighted_mean double, group_sd double")
+    return MP.map_tasks(stats, ["env_class"], part, "env_class string, w double, wm double, k double, s double, ss double", finish, "env_class string, weighted_mean double, group_sd double")
 
 
 # ------------------------------------------------------------------ learners
@@ -194,9 +211,8 @@ def _boost(spark, sf):
 @query("kernel_predictions")
 def _kernel(spark, sf):
     names = DESIGN.names()
-    rows = _designed(spark, sf).withColumn("centred", c("y") - 5.0)
-    out = LN.fold_predictions(rows, names, lambda n: LN.kernel_ridge(1.0, n), "centred", HOLDS, features=LN.random_features(names, 2.0, 64, 11))
-    return out.select("row_id", "fold", "y", (c("pred") + 5.0).alias("pred"))
+    out = LN.fold_predictions(_designed(spark, sf), names, lambda n: LN.kernel_ridge(1.0, n), "y", HOLDS, features=LN.random_features(names, 2.0, 64, 11), centred=True)
+    return out.select("row_id", "fold", "y", "pred")
 
 
 @query("hybrid_predictions")
@@ -233,9 +249,9 @@ def _nested(spark, sf):
 
 @query("variant_sensitivity")
 def _sens(spark, sf):
-    chosen = [v for v in VARIANTS if v.name in ("selected_pipeline", "no_environment")]
+    chosen = [v for v in VARIANTS if v.name in ("unchanged", "environment_on=False", "trunk_only=True,family=normal")]
     pred, _ = N.variant_sensitivity(FE.with_features(S.folded(spark, sf)), chosen, 0.85, S.K)
-    return T.variant_comparison(pred, "variant", "selected_pipeline", 200, 3)
+    return T.variant_comparison(pred, "variant", "unchanged", 200, 3)
 
 
 @query("family_audit")
@@ -365,6 +381,16 @@ def _stream2(spark, sf):
     return _joined(spark, sf).where("observed").select("event_id", "y", "is_event")
 
 
-@query("stream_windows")
+NLL = f"ln(scale) + {NM.HALF_LOG_2PI!r}::double + 0.5::double*((y-pred)/scale)*((y-pred)/scale)"
+
+
+@query("stream_windows", f"""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS n_predicted, sum(observed::int)::BIGINT AS n_observed,
+  avg(CASE WHEN observed THEN CASE WHEN is_event THEN {NLL} ELSE -({NM.log_sf_sql('((y-pred)/scale)')}) END END) AS joint_nll,
+  avg(CASE WHEN observed AND is_event THEN (abs(y-pred) <= 1.6448536269514715::double*scale)::int END) AS coverage90
+  FROM (SELECT ts, value > 0 AND trunc(value) <= {HORIZON} AS observed, log10(CASE WHEN value > 0 THEN value END) AS y, event_type <> 'error' AS is_event, m AS pred, s AS scale
+   FROM events, (SELECT avg(log10(value)) AS m, stddev_pop(log10(value)) AS s FROM events WHERE value > 0)) GROUP BY 1""", "day n_predicted n_observed", "joint_nll coverage90")
 def _stream3(spark, sf):
-    return J.window_summary(_joined(spark, sf), "ts", "1 day")
+    joined = _joined(spark, sf)
+    sent = _run(spark, _event_stream(spark, sf).select("event_id", "ts"), "sent")
+    windows = J.window_summary(J.with_pending(joined, sent, "event_id", "ts"), "ts", "1 day")
+    return windows.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "n_predicted", "n_observed", "joint_nll", "coverage90")

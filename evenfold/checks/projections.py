@@ -196,14 +196,14 @@ def _log_sf(spark, sf):
 _Q = {f: {p: L.FAMILIES[f].quantile(p) for p in (0.05, 0.5, 0.95)} for f in ("normal", "weibull", "weibull_median", "loglogistic")}
 
 
-@query("standard_quantiles", "SELECT row_id, v.family, p, pred + scale * z AS q FROM pred_line, (VALUES "
+@query("standard_quantiles", "SELECT row_id, model, v.family, p, pred + scale * z AS q FROM pred, (VALUES "
        + ", ".join(f"('{f}', {p}::double, {z!r}::double)" for f, ps in _Q.items() for p, z in ps.items()) + ") v(family, p, z)",
-       "row_id family", "p q", "pred_line")
+       "row_id model family", "p q", "pred")
 def _quantiles(spark, sf):
-    rows = S.predictions(spark, sf).where("model = 'line'").select("row_id", "pred", "scale")
+    rows = S.predictions(spark, sf).select("row_id", "model", "pred", "scale")
     q = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(p).alias("p"), L.quantile(f, c("pred"), c("scale"), p).alias("q"))
                   for f, ps in _Q.items() for p in ps])
-    return rows.select("row_id", F.explode(q).alias("_q")).select("row_id", "_q.*")
+    return rows.select("row_id", "model", F.explode(q).alias("_q")).select("row_id", "model", "_q.*")
 
 
 Z = "((y-pred)/scale)"
@@ -216,19 +216,19 @@ LOSS_SQL = {
 }
 
 
-@query("row_losses", "SELECT row_id, " + ", ".join(f"{s} AS {f}" for f, s in LOSS_SQL.items()) + " FROM pred_line",
-       "row_id", "normal weibull weibull_median loglogistic", "pred_line")
+@query("row_losses", "SELECT row_id, model, " + ", ".join(f"{s} AS {f}" for f, s in LOSS_SQL.items()) + " FROM pred",
+       "row_id model", "normal weibull weibull_median loglogistic", "pred")
 def _losses(spark, sf):
-    p = S.predictions(spark, sf).where("model = 'line'")
-    return p.select("row_id", *[
+    p = S.predictions(spark, sf)
+    return p.select("row_id", "model", *[
         L.row_loss(f, c("y"), c("pred"), c("scale"), c("is_event")).alias(f) for f in LOSS_SQL])
 
 
-@query("back_transform", """SELECT row_id, log10(pow(10.0::double, greatest(least(pred*40, 300.0::double), -300.0::double))) AS log_life, abs(pred*40) > 300 AS clipped FROM pred_line""",
-       "row_id clipped", "log_life", "pred_line")
+@query("back_transform", """SELECT row_id, model, log10(pow(10.0::double, greatest(least(pred*40, 300.0::double), -300.0::double))) AS log_life, abs(pred*40) > 300 AS clipped FROM pred""",
+       "row_id model clipped", "log_life", "pred")
 def _back(spark, sf):
-    p = S.predictions(spark, sf).where("model = 'line'")
-    return p.select("row_id", F.log10(D.power_of_ten(c("pred") * 40)).alias("log_life"), (F.abs(c("pred") * 40) > 300).alias("clipped"))
+    p = S.predictions(spark, sf)
+    return p.select("row_id", "model", F.log10(D.power_of_ten(c("pred") * 40)).alias("log_life"), (F.abs(c("pred") * 40) > 300).alias("clipped"))
 
 
 @query("support_weight", """SELECT row_id, exp(-pow(abs(temp_c-600.0::double)/250, 2)) AS w FROM rec""", "row_id", "w", "rec")
@@ -236,21 +236,21 @@ def _support(spark, sf):
     return S.records(spark, sf).select("row_id", D.support_weight(F.abs(c("temp_c") - 600.0)).alias("w"))
 
 
-@query("gated_blend", """SELECT row_id, pred + 0.75::double*exp(-pow(abs(temp_c-600.0::double)/250, 2))*(x_gross-pred) AS blend FROM pred_line""",
-       "row_id", "blend", "pred_line")
+@query("gated_blend", """SELECT row_id, model, pred + 0.75::double*exp(-pow(abs(temp_c-600.0::double)/250, 2))*(x_gross-pred) AS blend FROM pred""",
+       "row_id model", "blend", "pred")
 def _blend(spark, sf):
-    p = S.predictions(spark, sf).where("model = 'line'")
-    return p.select("row_id", D.gated_blend(
+    p = S.predictions(spark, sf)
+    return p.select("row_id", "model", D.gated_blend(
         c("pred"), c("x_gross") - c("pred"), D.support_weight(F.abs(c("temp_c") - 600.0)), 0.75).alias("blend"))
 
 
-@query("interval_columns", """SELECT row_id, pred-h AS lower, pred+h AS upper, y >= pred-h AND y <= pred+h AS covered,
-  2*h + 20*greatest(pred-h-y, 0) + 20*greatest(y-pred-h, 0) AS score FROM (SELECT *, 1.5::double*scale AS h FROM pred_line)""",
-       "row_id covered", "lower upper score", "pred_line")
+@query("interval_columns", """SELECT row_id, model, pred-h AS lower, pred+h AS upper, y >= pred-h AND y <= pred+h AS covered,
+  2*h + 20*greatest(pred-h-y, 0) + 20*greatest(y-pred-h, 0) AS score FROM (SELECT *, 1.5::double*scale AS h FROM pred)""",
+       "row_id model covered", "lower upper score", "pred")
 def _interval(spark, sf):
-    p = S.predictions(spark, sf).where("model = 'line'")
+    p = S.predictions(spark, sf)
     low, high = L.interval(c("pred"), 1.5 * c("scale"))
-    return p.select("row_id", low.alias("lower"), high.alias("upper"), L.covered(c("y"), low, high).alias("covered"),
+    return p.select("row_id", "model", low.alias("lower"), high.alias("upper"), L.covered(c("y"), low, high).alias("covered"),
                     L.interval_score(c("y"), low, high, 0.9).alias("score"))
 
 

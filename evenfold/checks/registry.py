@@ -45,7 +45,7 @@ def query(name: str, sql: str | None = None, exact: str = "", num: str = "", vie
 
 def with_clause(views: str) -> str:
     wanted = set(views.split())
-    needs = {"recf": ["rec"], "pred": ["recf"], "sco": ["pred"], "pred_line": ["pred"], "fpred": ["rec"], "folds": ["recf"]}
+    needs = {"recf": ["rec"], "pred": ["recf"], "sco": ["pred"], "fpred": ["rec"], "folds": ["recf"]}
     todo = list(wanted)
     while todo:
         for n in needs.get(todo.pop(), []):
@@ -54,7 +54,7 @@ def with_clause(views: str) -> str:
                 todo.append(n)
     parts = []
     for name, text in (("rec", S.REC_SQL), ("dup", S.DUP_SQL), ("recf", S.FOLD_SQL + ", " + S.FOLDED_SQL),
-                       ("pred", S.PRED_SQL), ("sco", S.scored_sql()), ("pred_line", "pred_line AS (SELECT * FROM pred WHERE model = 'line')"), ("fpred", S.FACTOR_SQL), ("xlab", XLAB)):
+                       ("pred", S.PRED_SQL), ("sco", S.scored_sql()), ("fpred", S.FACTOR_SQL), ("xlab", XLAB)):
         if name in wanted:
             parts.append(text.strip())
     return ("WITH RECURSIVE " + ", ".join(parts)) if parts else ""

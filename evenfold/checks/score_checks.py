@@ -35,15 +35,16 @@ def point_sql(scope: str, src: str = "sco", floor: str = "0") -> str:
   FROM (SELECT *, pred-y AS e, sum(w*y) OVER (PARTITION BY {scope or '1'}) / sum(w) OVER (PARTITION BY {scope or '1'}) AS mu FROM {weights(scope, 'is_event', src)}) {'GROUP BY ' + scope if scope else ''}"""
 
 
-@query("balanced_weights", f"SELECT row_id, w / sum(w) OVER (PARTITION BY model) * 1e4 AS weight FROM {weights('model', 'true', 'pred')} WHERE model = 'line'", "row_id", "weight", "pred")
+@query("balanced_weights", f"SELECT row_id, model, w / sum(w) OVER (PARTITION BY model) * 1e4 AS weight FROM {weights('model', 'true', 'pred')}", "row_id model", "weight", "pred")
 def _weights(spark, sf):
-    p = S.predictions(spark, sf).where("model = 'line'").select("model", "row_id", "group_id", "equiv_id")
-    return W.balanced_weights(p, ["model"]).select("row_id", (c("weight") * 1e4).alias("weight"))
+    p = S.predictions(spark, sf).select("model", "row_id", "group_id", "equiv_id")
+    return W.balanced_weights(p, ["model"]).select("row_id", "model", (c("weight") * 1e4).alias("weight"))
 
 
-@query("mean_one_weights", f"SELECT row_id, w / avg(w) OVER () AS weight FROM {weights('', 'is_event', 'rec')}", "row_id", "weight", "rec")
+# A third of a weight, since weights themselves may end in a 5 at the seventh digit, which engines round either way.
+@query("mean_one_weights", f"SELECT row_id, w / avg(w) OVER () / 3 AS weight_third FROM {weights('', 'is_event', 'rec')}", "row_id", "weight_third", "rec")
 def _weights1(spark, sf):
-    return W.balanced_weights(S.records(spark, sf).where("is_event"), [], norm="mean").select("row_id", "weight")
+    return W.balanced_weights(S.records(spark, sf).where("is_event"), [], norm="mean").select("row_id", (c("weight") / 3).alias("weight_third"))
 
 
 @query("source_weights", "SELECT row_id, w / avg(w) OVER () AS weight FROM (SELECT row_id, 1.0::double / count(*) OVER (PARTITION BY source_id) AS w FROM rec)", "row_id", "weight", "rec")

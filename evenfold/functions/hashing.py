@@ -12,10 +12,6 @@ def draw(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def tie_hash(seed: int, key: Column) -> Column:
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))
-
-
 def set_fingerprint(*columns: Column) -> list[Column]:
     """Order-free aggregate fingerprint of a row set of any size: count, sum and xor."""
     h = F.xxhash64(*columns)

@@ -58,8 +58,8 @@ def exposure(env: Column, wet_factor=1.0, air_factor=1.0, inert_factor=0.0) -> C
 
 
 def shortest_number(value: Column) -> Column:
-    """Text of a number without trailing zeros, the same for 20 and 20.0."""
-    return F.regexp_replace(F.format_string("%.6f", value.cast("double")), r"\.?0+$", "")
+    """Shortest text that gives the number back, without a fraction of zero: 20 and 20.0 are alike, 1.2e-7 keeps its digits."""
+    return F.regexp_replace(value.cast("double").cast("string"), r"\.0(?=$|E)", "")
 
 
 def series_key(*parts: Column) -> Column:

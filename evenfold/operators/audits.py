@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from evenfold.functions import text as X
 from evenfold.functions.hashing import id_list_sha, set_fingerprint
-from evenfold.operators.weights import attach_stats
 from evenfold.roles import DEFAULT, Roles
 
 # Accepted kinds of documented stops.
@@ -149,5 +148,3 @@ def evidence_gaps(audit: DataFrame, roles: Roles = DEFAULT) -> DataFrame:
     return audit.groupBy(roles.source, "stop_type", "audit_status").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def with_cluster(df: DataFrame, stats: DataFrame, roles: Roles = DEFAULT) -> DataFrame:
-    return attach_stats(df, [roles.equiv], stats)

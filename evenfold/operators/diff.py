@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 
 def flat_columns(df: DataFrame) -> DataFrame:
@@ -25,11 +26,6 @@ def flat_columns(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def occurrence_key(df: DataFrame, keys: list[str], values: list[str], out: str = "_occ") -> tuple[DataFrame, list[str]]:
-    """Rows counted per distinct content: equal rows are compared by how often they occur."""
-    return df.groupBy(*keys, *values).agg(F.count(F.lit(1)).alias(out)), [*keys, *values]
-
-
 def compare(a: DataFrame, b: DataFrame, keys: list[str], rtol: float = 1e-10, atol: float = 1e-10) -> DataFrame:
     """Per column: values compared, values out of tolerance, largest absolute difference.
 
@@ -67,12 +63,28 @@ def schema_differences(a: DataFrame, b: DataFrame) -> list[str]:
     return out + [f"type of {c}: {left[c]} / {right[c]}" for c in left if c in right and left[c] != right[c]]
 
 
-def compare_unkeyed(a: DataFrame, b: DataFrame, columns: list[str], digits: int = 9) -> DataFrame:
-    """Tables without a key: rounded rows must occur equally often on both sides."""
-    def counted(df: DataFrame, tag: str) -> DataFrame:
-        types = dict(df.dtypes)
-        vals = [(F.round(c, digits) if types[c] in ("double", "float") else F.col(c)).alias(c) for c in columns]
-        return df.select(*vals, F.lit(1 if tag == "a" else 0).alias("_a"), F.lit(1 if tag == "b" else 0).alias("_b"))
-    both = counted(a, "a").unionByName(counted(b, "b"))
-    per = both.groupBy(*columns).agg(F.sum("_a").alias("n_first"), F.sum("_b").alias("n_second"))
-    return per.where("n_first <> n_second")
+def compare_unkeyed(a: DataFrame, b: DataFrame, columns: list[str], rtol: float = 1e-10, atol: float = 1e-10) -> DataFrame:
+    """Tables without a key: rows that do not occur equally often on both sides, up to the tolerance.
+
+    In each numeric column, values that follow one another by no more than
+    ``atol + rtol |value|`` are one value; its smallest stands for it. Other columns compare exactly.
+    """
+    types = dict(a.dtypes)
+    loose = [c for c in columns if types[c] in ("double", "float")]
+    exact = [c for c in columns if c not in loose]
+
+    def tagged(df: DataFrame, first: int) -> DataFrame:
+        return df.select(*columns, F.lit(first).alias("_a"), F.lit(1 - first).alias("_b"))
+
+    # Equal rows first become one, so that only distinct rows are put in order.
+    both = tagged(a, 1).unionByName(tagged(b, 0)).groupBy(*columns).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    held = list(exact)
+    for i, c in enumerate(loose):
+        order = Window.partitionBy(*held).orderBy(c) if held else Window.orderBy(c)
+        gap = F.col(c) - F.lag(c).over(order)
+        both = both.withColumn("_new", F.coalesce((gap > atol + rtol * F.abs(c)).cast("long"), F.lit(0)))
+        both = both.withColumn(f"_g{i}", F.sum("_new").over(order)).drop("_new")
+        held.append(f"_g{i}")
+    shown = [F.min(c).alias(c) for c in loose]
+    counted = both.groupBy(*held).agg(*shown, F.sum("_a").alias("n_first"), F.sum("_b").alias("n_second")) if loose else both.withColumnsRenamed({"_a": "n_first", "_b": "n_second"})
+    return counted.where("n_first <> n_second").select(*columns, "n_first", "n_second")

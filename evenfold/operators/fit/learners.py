@@ -15,10 +15,10 @@ from evenfold.functions import damage as D
 from evenfold.roles import DEFAULT, Roles
 
 
-def forest(trees: int, leaf: int = 3, features: float = 0.85, seed: int = 0) -> RandomForestRegressor:
-    """Stands for both bagged and randomised-threshold trees; thresholds are not drawn at random."""
+def forest(trees: int, leaf: int = 3, features: float = 0.85, seed: int = 0, depth: int = 30) -> RandomForestRegressor:
+    """Stands for both bagged and randomised-threshold trees; thresholds are not drawn at random. Depth 30 is the most Spark ML allows."""
     return RandomForestRegressor(numTrees=trees, minInstancesPerNode=leaf, featureSubsetStrategy=str(features), seed=seed,
-                                 maxDepth=10, featuresCol="_x", labelCol="_y", predictionCol="_p")
+                                 maxDepth=depth, featuresCol="_x", labelCol="_y", predictionCol="_p")
 
 
 def boosting(rounds: int = 20, depth: int = 2, leaf: int = 4, rate: float = 0.1, seed: int = 0) -> GBTRegressor:
@@ -52,21 +52,23 @@ def random_features(inputs: list[str], length: float, count: int, seed: int) ->
 
 
 def fold_predictions(rows: DataFrame, inputs: list[str], estimator, target: str, folds: list[int], fold: str = "fold",
-                     event: str = DEFAULT.event, out: str = "pred", features: Column | None = None) -> DataFrame:
+                     event: str = DEFAULT.event, out: str = "pred", features: Column | None = None, centred: bool = False) -> DataFrame:
     """Fit on the events of all other folds and predict every row of the fold; one model per fold.
 
-    ``estimator`` is an estimator, or a function of the fold's number of training rows.
+    ``estimator`` is an estimator, or a function of the fold's number of training rows. With
+    ``centred`` it learns the target less its mean over the training rows, which is added again.
     """
     data = rows.withColumn("_x", features) if features is not None else VectorAssembler(inputCols=inputs, outputCol="_x").transform(rows)
     parts = []
-    sizes = None
-    if not hasattr(estimator, "fit"):
-        sizes = {r[fold]: r["n"] for r in rows.where(F.col(event)).groupBy(fold).agg(F.count(F.lit(1)).alias("n")).collect()}
+    per_fold = rows.where(F.col(event)).groupBy(fold).agg(F.count(target).alias("n"), F.sum(target).alias("s")).collect()
     for f in folds:
-        train = data.where(F.col(event) & (F.col(fold) != f)).withColumn("_y", F.col(target))
-        model = estimator if sizes is None else estimator(sum(n for k, n in sizes.items() if k != f))
+        others = [r for r in per_fold if r[fold] != f]
+        n = sum(r["n"] for r in others)
+        mean = sum(r["s"] or 0.0 for r in others) / n if centred and n else 0.0
+        train = data.where(F.col(event) & (F.col(fold) != f)).withColumn("_y", F.col(target) - mean)
+        model = estimator if hasattr(estimator, "fit") else estimator(n)
         fitted = model.fit(train.select("_x", "_y"))
-        parts.append(fitted.transform(data.where(F.col(fold) == f)).withColumn(out, F.col("_p")).drop("_x", "_p"))
+        parts.append(fitted.transform(data.where(F.col(fold) == f)).withColumn(out, F.col("_p") + mean).drop("_x", "_p"))
     result = parts[0]
     for p in parts[1:]:
         result = result.unionByName(p)

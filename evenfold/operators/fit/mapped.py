@@ -12,16 +12,17 @@ from pyspark.sql import functions as F
 from evenfold.operators.fit.closed_form import complement_sums
 
 
-def map_tasks(stats: DataFrame, keys: list[str], fit: Callable[[pd.DataFrame], pd.DataFrame], schema: str, bound: int = 1_000_000) -> DataFrame:
-    """Apply ``fit`` to the reduced statistics of each task.
+def map_tasks(stats: DataFrame, keys: list[str], part: Callable[[pd.DataFrame], pd.DataFrame], part_schema: str,
+              finish: Callable[[pd.DataFrame], pd.DataFrame], schema: str, parts: int = 64) -> DataFrame:
+    """A user's own fit per task: ``part`` reduces some rows of a task to a state, ``finish`` turns its states into the result.
 
-    Rows must be aggregated to groups first: a task with more than ``bound`` rows is refused,
-    because one Python worker would have to hold it.
+    A task of any size is spread over ``parts`` workers by a hash of its rows; only their
+    states, at most ``parts`` rows per task, meet in one worker.
     """
-    largest = stats.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
-    if largest > bound:
-        raise ValueError(f"a task has {largest} rows; reduce them to statistics of at most {bound}")
-    return stats.groupBy(*keys).applyInPandas(fit, schema)
+    columns = stats.columns
+    salted = stats.withColumn("_part", F.pmod(F.xxhash64(*columns), F.lit(parts)))
+    reduced = salted.groupBy(*keys, "_part").applyInPandas(lambda pdf: part(pdf[columns]), part_schema)
+    return reduced.groupBy(*keys).applyInPandas(finish, schema)
 
 
 def complement_ridge(events: DataFrame, fold: str, inputs: list[str], y: str, alphas: tuple[float, ...]) -> list[dict]:

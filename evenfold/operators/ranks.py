@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evenfold.session import settle
+
 
 def bucketed_row_number(df: DataFrame, scope: list[str], bucket: Column, order: list[Column],
                         out: str = "rn") -> DataFrame:
@@ -40,8 +42,9 @@ def hash_row_number(df: DataFrame, scope: list[str], seed: int, key: str, out: s
 
 def label_ranks(df: DataFrame, key: str, prefix: str, out: str = "plot_label") -> DataFrame:
     """S01, S02, … for the distinct values of ``key`` in their order."""
-    names = df.select(key).distinct()
-    ranked = bucketed_row_number(names, [], F.substring(F.col(key), 1, 3), [F.col(key)], "_rank")
+    # Buckets are ranges of the key cut by a sample of it, so that common prefixes do not matter.
+    names = settle(df.select(key).distinct().repartitionByRange(key).withColumn("_range", F.spark_partition_id()), "labels")
+    ranked = bucketed_row_number(names, [], F.col("_range"), [F.col(key)], "_rank").drop("_range")
     number = F.col("_rank").cast("string")
     return ranked.select(
         key, F.concat(F.lit(prefix), F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number)).alias(out)

@@ -83,6 +83,17 @@ def metric_intervals(df: DataFrame, scope: list[str], reps: int, seed: int, role
     return point.join(bounds, scope)
 
 
+def require_pairs(others: DataFrame, base: DataFrame, scope: list[str], key: list[str], group: str) -> None:
+    """Raise unless, in every scope, each key of ``others`` has the same groups as ``base``."""
+    marked = others.select(*scope, *key, group).join(base.select(*scope, group, F.lit(1).alias("_base")), [*scope, group], "left")
+    per_key = marked.groupBy(*scope, *key).agg(F.count(F.lit(1)).alias("_own"), F.count("_base").alias("_shared"))
+    sizes = base.groupBy(*scope).agg(F.count(F.lit(1)).alias("_all"))
+    joined = per_key.join(sizes, scope, "left") if scope else _beside(per_key, sizes)
+    bad = joined.where((F.col("_own") != F.col("_shared")) | (F.coalesce("_all", F.lit(0)) != F.col("_shared"))).limit(3).collect()
+    if bad:
+        raise ValueError(f"groups without a partner: {[r.asDict() for r in bad]}")
+
+
 def paired_effects(df: DataFrame, scope: list[str], proposed: str, reps: int, seed: int,
                    roles: Roles = DEFAULT, composite: bool = True,
                    metrics: tuple[str, ...] | None = None) -> DataFrame:
@@ -96,7 +107,9 @@ def paired_effects(df: DataFrame, scope: list[str], proposed: str, reps: int, se
     groups = settle(groups.select(*scope, roles.model, roles.group, *values), "pairs")
     ours = groups.where(F.col(roles.model) == proposed).select(
         *scope, roles.group, *[F.col(v).alias(f"p_{v}") for v in values])
-    both = groups.where(F.col(roles.model) != proposed).join(ours, [*scope, roles.group])
+    others = groups.where(F.col(roles.model) != proposed)
+    require_pairs(others, ours, scope, [roles.model], roles.group)
+    both = others.join(ours, [*scope, roles.group])
     names = values + [f"p_{v}" for v in values]
     keys = [*scope, roles.model]
     pool = numbered(both, keys, roles.group, seed)
@@ -163,7 +176,9 @@ def difference_intervals(df: DataFrame, scope: list[str], key: str, reference: s
     stats = settle(stats, "diff")
     values = ["e2", "e1", "y1", "y2", "nll"]
     base = stats.where(F.col(key) == reference).select(*scope, roles.group, *[F.col(v).alias(f"r_{v}") for v in values])
-    both = stats.where(F.col(key) != reference).join(base, [*scope, roles.group])
+    others = stats.where(F.col(key) != reference)
+    require_pairs(others, base, scope, [key], roles.group)
+    both = others.join(base, [*scope, roles.group])
 
     def of(p: str) -> dict[str, Column]:
         c = lambda v: F.col(p + v)

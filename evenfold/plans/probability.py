@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evenfold.operators import contracts as C
 from evenfold.operators import metrics as M
-from evenfold.operators.resample import mean_intervals
+from evenfold.operators.resample import mean_intervals, require_pairs
 from evenfold.roles import DEFAULT, Roles
 from evenfold.session import settle
 
@@ -38,8 +38,9 @@ def paired_loss_gains(df: DataFrame, proposed: str, reps: int, seed: int, roles:
     groups = M.group_means(df, [roles.scenario, roles.model], {"nll": M.Term(F.col(loss))}, roles)
     groups = settle(groups.select(roles.scenario, roles.model, roles.group, "nll"), "nll")
     ours = groups.where(F.col(roles.model) == proposed).select(roles.scenario, roles.group, F.col("nll").alias("_p"))
-    both = groups.where(F.col(roles.model) != proposed).join(ours, [roles.scenario, roles.group], "full_outer")
-    both = both.where(F.col(roles.model).isNotNull())
+    others = groups.where(F.col(roles.model) != proposed)
+    require_pairs(others, ours, [roles.scenario], [roles.model], roles.group)
+    both = others.join(ours, [roles.scenario, roles.group])
     delta = both.withColumn("gain", F.col("nll") - F.col("_p"))
     return mean_intervals(delta, [roles.scenario, roles.model], roles.group, ["gain"], reps, seed)
 

@@ -73,11 +73,3 @@ def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) ->
 def parallelism(spark: SparkSession) -> int:
     """Partition count for generated rows, which have no input splits of their own."""
     return max(spark.sparkContext.defaultParallelism, 1)
-
-
-def require_at_most(df: DataFrame, bound: int, what: str) -> int:
-    """Count ``df`` and fail if it is not the small table the caller takes it for."""
-    n = df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    if n > bound:
-        raise ValueError(f"{what}: {n} rows, more than the {bound} this step is meant for")
-    return n

@@ -40,6 +40,16 @@ def with_outcome_scores(joined: DataFrame, family: str = "normal", roles: Roles
         "covered90": F.when(event, L.covered(y, F.col("prob_lower90"), F.col("prob_upper90")))})
 
 
+def with_pending(joined: DataFrame, sent: DataFrame, key: str, at: str) -> DataFrame:
+    """The joined rows and, as not observed, every prediction that is still waiting in the state of the join.
+
+    A prediction comes out of the join only once the watermark has passed its horizon; the
+    sink of the predictions knows the others. Outcomes dropped for lateness leave theirs pending.
+    """
+    waiting = sent.select(key, at).join(joined.select(key), key, "left_anti").withColumn("observed", F.lit(False))
+    return joined.unionByName(waiting, allowMissingColumns=True)
+
+
 def window_summary(scored: DataFrame, at: str, width: str) -> DataFrame:
     """Per window of prediction time: observed and pending rows, loss and coverage."""
     return scored.groupBy(F.window(at, width).alias("_w")).agg(

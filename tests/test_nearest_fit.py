@@ -123,7 +123,29 @@ def test_ridge_matches_numpy(spark):
         assert [f["a"], f["b"]] == pytest.approx(list(beta))
 
 
-def test_mapped_fit_refuses_large_tasks(spark):
-    df = spark.range(10).withColumn("k", F.lit(1))
-    with pytest.raises(ValueError, match="reduce"):
-        MP.map_tasks(df, ["k"], lambda p: p, "id long, k int", bound=5)
+def test_mapped_fit_merges_the_parts_of_a_task(spark):
+    import pandas as pd
+
+    df = spark.range(1000).select("id", F.lit(1).alias("k"))
+    part = lambda p: pd.DataFrame({"k": [1], "n": [len(p)], "s": [int(p["id"].sum())]})
+    total = lambda p: pd.DataFrame({"k": [1], "n": [p["n"].sum()], "s": [p["s"].sum()], "parts": [len(p)]})
+    row = MP.map_tasks(df, ["k"], part, "k int, n long, s long", total, "k int, n long, s long, parts long", parts=8).first()
+    assert (row.n, row.s) == (1000, 499500) and row.parts == 8
+
+
+def test_best_start_is_a_finite_one():
+    fits = [LK.Fit({"hold": 1}, np.zeros(1), v, v, 1, True, 5) for v in (1.0, float("nan"), 0.5, float("inf"))]
+    assert LK.best_of(fits)[0].objective == 0.5 and LK.best_of(fits[1:2])[0].objective != 0
+
+
+def test_task_without_rows_has_null_parameters(spark):
+    rows = planted(spark).withColumn("fold", F.lit(1))
+    fits = TR.fit_walker(rows, [{"hold": 1, "gamma": 0.85}, {"hold": 2, "gamma": 0.85}], TR.leave_fold_out(), ["fold"])
+    table = {r.hold: r for r in LK.parameter_table(spark, fits, ("a", "b")).collect()}
+    assert table[1].a is None and table[1].scale is None and not table[1].converged and table[1].n_train == 0
+    assert table[2].a is not None and table[2].converged
+
+
+def test_unknown_classes_are_not_dry(spark):
+    df = planted(spark).withColumns({"wet": F.col("log_s") > 0.5, "exposure": F.lit(1.0), "env_class": F.lit("unknown")})
+    assert TR.class_policy(df, [99])[99]["status"] == "no_dry_training_rows"

@@ -54,12 +54,6 @@ def test_settle_keeps_schema_and_size(spark):
     assert "FileScan" in df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_bounded_table(spark):
-    assert session.require_at_most(spark.range(5), 5, "t") == 5
-    with pytest.raises(ValueError):
-        session.require_at_most(spark.range(6), 5, "t")
-
-
 def test_cardinality_checks(spark):
     a = spark.createDataFrame([(1,), (1,)], "k long")
     with pytest.raises(ContractError):
