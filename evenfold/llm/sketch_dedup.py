@@ -29,12 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenfold.llm.common import lower_space_words, matching, mixed, runs
-from evenfold.session import settle
+from evenfold.llm.common import lower_space_words, matching, mixed, runs, settled_clean
 
 BINS = 128
 BAND_ROWS = 4
-PIVOT_ROUNDS = 6
+PIVOT_ROUNDS = 1
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Odd multipliers that tell the places of a shingle apart.
 PLACES = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -128,16 +127,16 @@ def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(k, label): the smallest key that each key of ``edges`` (a, b) reaches, by alternating star contraction."""
-    now = settle(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    now = settled_clean(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     state = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = settle(large.where("u <> v").distinct(), "edges")
+        large = settled_clean(large.where("u <> v").distinct(), "edges")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        now = settle(small.where("u <> v").distinct(), "edges")
+        now = settled_clean(small.where("u <> v").distinct(), "edges")
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == state:
             break
@@ -147,17 +146,28 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs among ``rest`` (k, label) of different labels that share one of their rarest shingles."""
+    """Candidate pairs among ``rest`` (k, label) of different labels, by a prefix join with positions.
+
+    Shingles are put in one order, rarest first. Of a pair that is similar enough,
+    the larger set has a common shingle among its first n - p n / 100 + 1 and the
+    smaller among its first n - 2 p n / (100 + p) + 1. The first common shingle, at
+    places i and j, leaves at most 1 + min(n - i, n' - j) in common, which must
+    reach p (n + n') / (100 + p); at later common shingles less is left, so the test
+    holds for each row of the join.
+    """
     words = rest.join(sets, "k").select("k", "label", "n", F.explode("s").alias("w"))
     often = words.groupBy("w").agg(F.count(F.lit(1)).alias("c"))
     ranked = words.join(often.where("c > 1"), "w", "left")
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     order = F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), F.col("w").alias("w"))))
-    kept = ranked.groupBy("k", "label", "n").agg(order.alias("o")).select("k", "label", "n", F.explode(F.slice("o", F.lit(1), prefix.cast("int"))).alias("p"))
-    kept = kept.where("p.c > 1").select("k", "label", "n", F.col("p.w").alias("w"))
-    x, y = kept.alias("x"), kept.alias("y")
-    near = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    return x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.k") < F.col("y.k")) & (F.col("x.label") != F.col("y.label")) & near).select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
+    listed = ranked.groupBy("k", "label", "n").agg(order.alias("o"))
+    probe = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    placed = listed.select("k", "label", "n", F.posexplode(F.slice("o", F.lit(1), probe)).alias("i", "p")).where("p.c > 1")
+    placed = settled_clean(placed.select("k", "label", "n", (F.col("i") + 1).alias("i"), F.col("p.w").alias("w")), "prefixes")
+    x, y = placed.alias("x"), placed.where(F.col("i") <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1).alias("y")
+    larger = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.k") > F.col("y.k")))
+    left = 1 + F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i"))
+    enough = (100 + percent) * left >= percent * (F.col("x.n") + F.col("y.n"))
+    return x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.label") != F.col("y.label")) & larger & enough).select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
 
 
 def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -173,18 +183,18 @@ def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None
     """Component labels (k, label) of the classes in ``members`` (band, k)."""
     found, labels = None, None
     for turn in range(PIVOT_ROUNDS):
-        open_now = settle(labelled(members, labels), "bands")
+        open_now = settled_clean(labelled(members, labels), "bands")
         # The first pivot is the smallest key; later ones are drawn, so that other members have their turn.
         draw = F.col("k") if turn == 0 else F.xxhash64("k", F.lit(turn))
         pivots = open_now.groupBy("band").agg(F.min(F.struct(draw.alias("d"), F.col("k").alias("a"), F.col("label").alias("l"))).alias("p")).select("band", "p.a", "p.l")
         pairs = open_now.join(pivots, "band").where("label <> l").select("a", F.col("k").alias("b")).distinct()
-        new = settle(alike(pairs, sets, percent), "links")
+        new = settled_clean(alike(pairs, sets, percent), "links")
         if new.isEmpty():
             break
         found = new if found is None else found.unionByName(new)
-        labels = settle(components(found), "labels")
+        labels = settled_clean(components(found), "labels")
     rest = labelled(members, labels).select("k", "label").distinct()
-    more = settle(alike(prefix_pairs(rest, sets, percent), sets, percent), "links")
+    more = settled_clean(alike(prefix_pairs(rest, sets, percent), sets, percent), "links")
     if not more.isEmpty():
         labels = components(more if found is None else found.unionByName(more))
     return labels
@@ -192,15 +202,15 @@ def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id) for every row; component_id is the smallest key that links reach."""
-    marks = settle(sketched(docs, key, text, shingle), "sketches")
-    classes = settle(marks.where("n > 0 AND k IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("k").alias("rep")), "classes")
+    marks = settled_clean(sketched(docs, key, text, shingle), "sketches")
+    classes = settled_clean(marks.where("n > 0 AND k IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("k").alias("rep")), "classes")
     named = classes.select(F.col("n").alias("_n"), F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), "rep")
     same = (F.col("n") == F.col("_n")) & (F.col("f1") == F.col("_f1")) & (F.col("f2") == F.col("_f2"))
     bands = marks.join(named, same).where("k = rep").select("k", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.min("k").alias("_lo"), F.max("k").alias("_hi")).where("_lo < _hi").select("band")
-    members = settle(bands.join(shared, "band", "left_semi").distinct(), "members")
-    ids = settle(members.select("k").distinct(), "candidates")
-    sets = settle(full_sets(docs, ids, key, text, shingle), "sets")
+    members = settled_clean(bands.join(shared, "band", "left_semi").distinct(), "members")
+    ids = settled_clean(members.select("k").distinct(), "candidates")
+    sets = settled_clean(full_sets(docs, ids, key, text, shingle), "sets")
     labels = links(members, sets, percent)
     rows = marks.drop("bands").join(named, same, "left").withColumn("rep", F.when((F.col("n") > 0) & F.col("k").isNotNull(), F.col("rep")).otherwise(F.col("k")))
     if labels is not None:
@@ -213,9 +223,9 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
     Equal rows of one key are copies, of which one stays; rows without key all stay.
     """
-    found = settle(near_duplicates(docs, key, text, shingle, percent).select(F.col(key).alias("k"), "component_id"), "components")
-    kept = matching(docs, settle(found.where("k <> component_id").select("k").distinct(), "dropped"), key, "left_anti")
-    repeated = settle(found.where("k IS NOT NULL").groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k"), "repeated")
+    found = settled_clean(near_duplicates(docs, key, text, shingle, percent).select(F.col(key).alias("k"), "component_id"), "components")
+    kept = matching(docs, settled_clean(found.where("k <> component_id").select("k").distinct(), "dropped"), key, "left_anti")
+    repeated = settled_clean(found.where("k IS NOT NULL").groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k"), "repeated")
     if repeated.isEmpty():
         return kept
     return matching(kept, repeated, key, "left_anti").unionByName(matching(kept, repeated, key, "left_semi").dropDuplicates([key, text]))
