@@ -27,6 +27,8 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -40,7 +42,9 @@ from evenfold.llm.common import bucketed, lower_space_words, mixed, runs, settle
 
 K = 5
 ORDER = 2
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 10_000_000
+#: In how many turns the n-grams of one order are exchanged.
+TURNS = 2
 PART_ENTRIES = 2_000_000
 HOT_EVENTS = 1_000_000
 HOT_SHARE = 1e-3
@@ -61,12 +65,47 @@ def unpacked(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).ravel()
 
 
+def packed_words(hashes: np.ndarray) -> bytes:
+    """The low 48 bits of word hashes, which tell the words after one context apart."""
+    return zstandard.compress(hashes.view(np.uint8).reshape(-1, 8).T[:6].tobytes(), 1)
+
+
+def unpacked_words(data: bytes) -> np.ndarray:
+    low = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(6, -1)
+    return np.ascontiguousarray(np.concatenate([low, np.zeros((2, low.shape[1]), np.uint8)]).T).view(np.uint64).ravel()
+
+
+def packed_floats(values: np.ndarray) -> bytes:
+    """Floats of which many are equal: their distinct values, then which one each is."""
+    distinct, at = np.unique(values, return_inverse=True)
+    head = packed(distinct)
+    return len(head).to_bytes(8, "little") + head + packed(at.astype(np.uint32))
+
+
+def unpacked_floats(data: bytes) -> np.ndarray:
+    size = 8 + int.from_bytes(data[:8], "little")
+    return unpacked(data[8:size], np.float64)[unpacked(data[size:], np.uint32)]
+
+
 def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     return (((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
+def by_count(counts: np.ndarray) -> np.ndarray:
+    return np.argsort(-counts.astype(np.int64), kind="stable")
+
+
+def ranks(counts: np.ndarray) -> np.ndarray:
+    out = np.empty(len(counts), np.uint32)
+    out[by_count(counts)] = np.arange(len(counts), dtype=np.uint32)
+    return out
+
+
 def blocks(docs: DataFrame, key: str, text: str, learn: Column, block_chars: int) -> DataFrame:
-    """Token blocks: keys, training flags and lengths of the texts; sorted word hashes, their training counts, and the words of all texts in a row."""
+    """Token blocks: keys, training flags and lengths of the texts; sorted word hashes, their training counts, and the words of all texts in a row.
+
+    Words in a row are numbered by falling training count, so that common words have small numbers.
+    """
     rows = docs.select(F.col(key).alias("k"), learn.alias("learn"), F.col(text).alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
 
@@ -83,7 +122,7 @@ def blocks(docs: DataFrame, key: str, text: str, learn: Column, block_chars: int
             counts = np.bincount(at[taught], minlength=len(words)).astype(np.uint32)
             return pa.RecordBatch.from_arrays(
                 [pa.array([block], pa.int64()), pa.array([held[0]], pa.list_(kinds)), pa.array([held[1]], pa.list_(pa.bool_())), pa.array([held[2]], pa.list_(pa.int64())),
-                 *[pa.array([packed(x)], pa.binary()) for x in (words, counts, at.astype(np.uint32))]],
+                 *[pa.array([packed(x)], pa.binary()) for x in (words, counts, ranks(counts)[at])]],
                 names=["block", "keys", "learn", "sizes", "words", "counts", "tokens"])
 
         for batch in batches:
@@ -156,7 +195,7 @@ class Block:
         self.sizes = np.array(row["sizes"], dtype=np.int64)
         self.learn = np.repeat(np.array(row["learn"], dtype=bool), self.sizes)
         self.words = unpacked(row["words"], np.uint64)
-        self.tokens = unpacked(row["tokens"], np.uint32).astype(np.int64)
+        self.tokens = by_count(unpacked(row["counts"], np.uint32))[unpacked(row["tokens"], np.uint32)]
         self.first = np.cumsum(self.sizes) - self.sizes
         self.scale = facts["total"] + 0.5 * (facts["seen"] + 1)
         self.hot = np.uint64(facts["hot"])
@@ -220,7 +259,7 @@ def upto(row, told: pd.DataFrame, order: int, parts: int, facts: dict) -> tuple[
         for p, rows, wanted in slices:
             got = answers[p]
             counts[rows] = unpacked(got["a"], np.uint32)
-            mass[wanted] += unpacked(got["b"], np.float64)
+            mass[wanted] += unpacked_floats(got["b"])
             repeats[:, wanted] += unpacked(got["c"], np.uint32).reshape(K, -1)
         lower = level.probability[level.at[one]]
         level = Level(mixed(hashes[context] * CONTEXT + block.words[word] * WORD), at, counts, backed_off(counts, below[context], lower, mass, repeats, context, facts["discounts"][n]))
@@ -257,8 +296,11 @@ def good_turing(repeats: np.ndarray) -> np.ndarray:
     return 1 - lost / r
 
 
-def gram_counts(table: DataFrame, told: DataFrame, n: int, parts: int, facts: dict) -> DataFrame:
-    """Counts of all n-grams and sums of their contexts, as answers to the blocks and as the model's table of order ``n``."""
+def gram_counts(table: DataFrame, told: DataFrame, n: int, parts: int, facts: dict, turn: int, turns: int) -> DataFrame:
+    """Counts of n-grams and sums of their contexts, as answers to the blocks and as the model's table of order ``n``.
+
+    Covers every ``turns``-th partition, so that less is on its way at once.
+    """
     def ask(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in left.to_dict("records"):
@@ -267,18 +309,19 @@ def gram_counts(table: DataFrame, told: DataFrame, n: int, parts: int, facts: di
             taught = np.bincount(at[block.learn], minlength=len(context)).astype(np.uint32)
             lower = low.probability[low.at[one]]
             for p, rows, wanted in slices:
-                sizes = np.bincount(np.searchsorted(wanted, context[rows]), minlength=len(wanted)).astype(np.uint32)
-                out.append({"part": p, "block": row["block"], "a": packed(hashes[wanted]), "b": packed(sizes), "c": packed(block.words[word[rows]]),
-                            "d": packed(taught[rows]), "e": packed(lower[rows] if n > 2 else low.counts[word[rows]])})
+                if p % turns == turn:
+                    sizes = np.bincount(np.searchsorted(wanted, context[rows]), minlength=len(wanted)).astype(np.uint32)
+                    out.append({"part": p, "block": row["block"], "a": packed(hashes[wanted]), "b": packed(sizes), "c": packed_words(block.words[word[rows]]),
+                                "d": packed(taught[rows]), "e": packed_floats(lower[rows]) if n > 2 else packed(low.counts[word[rows]])})
         return pd.DataFrame(out, columns=["part", "block", "a", "b", "c", "d", "e"])
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         wanted, sizes = [unpacked(x, np.uint64) for x in frame["a"]], [unpacked(x, np.uint32) for x in frame["b"]]
         asked = [np.repeat(w, s) for w, s in zip(wanted, sizes)]
-        context, word = np.concatenate(asked), np.concatenate([unpacked(x, np.uint64) for x in frame["c"]])
+        context, word = np.concatenate(asked), np.concatenate([unpacked_words(x) for x in frame["c"]])
         _, one, at = np.unique(mixed(context * CONTEXT + word * WORD), return_index=True, return_inverse=True)
         counts = np.bincount(at, np.concatenate([unpacked(x, np.uint32) for x in frame["d"]]), minlength=len(one)).astype(np.uint32)
-        lower = np.concatenate([unpacked(x, np.float64 if n > 2 else np.uint64) for x in frame["e"]])[one]
+        lower = np.concatenate([unpacked_floats(x) if n > 2 else unpacked(x, np.uint64) for x in frame["e"]])[one]
         if n == 2:
             lower = (lower + 0.5) / (facts["total"] + 0.5 * (facts["seen"] + 1))
         names = np.unique(np.concatenate(wanted))
@@ -287,11 +330,13 @@ def gram_counts(table: DataFrame, told: DataFrame, n: int, parts: int, facts: di
         mass = np.bincount(place[seen], lower[seen], minlength=len(names))
         repeats = np.array([np.bincount(place[counts == r], minlength=len(names)) for r in range(1, K + 1)], dtype=np.uint32)
         part = int(frame["part"].iloc[0])
-        out = [answer(n, part, -1, packed(context[one][seen]), packed(word[one][seen]), packed(counts[seen]))
+        kept = np.flatnonzero(seen)[np.argsort(context[one][seen], kind="stable")]
+        own, sizes = np.unique(context[one][kept], return_counts=True)
+        out = [answer(n, part, -1, packed(own), packed(sizes.astype(np.uint32)), packed_words(word[one][kept]), packed(counts[kept]))
                | {"seen": int(seen.sum()), "total": int(counts.sum()), "repeats": [int((counts == r).sum()) for r in range(1, K + 2)]}]
         for block, mine, want in zip(frame["block"], np.split(at, np.cumsum([len(x) for x in asked])[:-1]), wanted):
             spot = np.searchsorted(names, want)
-            out.append(answer(n, part, block, packed(counts[mine]), packed(mass[spot]), packed(np.ascontiguousarray(repeats[:, spot]).ravel())))
+            out.append(answer(n, part, block, packed(counts[mine]), packed_floats(mass[spot]), packed(np.ascontiguousarray(repeats[:, spot]).ravel())))
         return pd.DataFrame(out)
 
     asked = table.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(ask, "part int, block bigint, a binary, b binary, c binary, d binary, e binary")
@@ -299,7 +344,7 @@ def gram_counts(table: DataFrame, told: DataFrame, n: int, parts: int, facts: di
 
 
 def scored(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", order: int = ORDER,
-           block_chars: int = BLOCK_CHARS, part_entries: int = PART_ENTRIES, hot_events: int = HOT_EVENTS) -> DataFrame:
+           block_chars: int = BLOCK_CHARS, part_entries: int = PART_ENTRIES, hot_events: int = HOT_EVENTS, turns: int = TURNS) -> DataFrame:
     """(key, learn, n_tokens, n_known, train_tokens, base_score, score) of every row; learns from the rows where ``learn`` holds."""
     kind = docs.select(key).schema[0].dataType.simpleString()
     table = blocks(docs, key, text, learn, block_chars)
@@ -310,7 +355,8 @@ def scored(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "tex
     facts = {"seen": model[0], "total": model[1], "hot": max(hot_events, int(HOT_SHARE * model[1])), "discounts": {}}
     told = tables[0].where("block >= 0")
     for n in range(2, order + 1):
-        tables.append(gram_counts(table, told, n, parts, facts))
+        found = [gram_counts(table, told, n, parts, facts, i, turns) for i in range(turns)]
+        tables.append(reduce(DataFrame.unionByName, found))
         sums = tables[-1].where("block = -1").agg(*[F.coalesce(F.sum(F.get("repeats", F.lit(r))), F.lit(0)) for r in range(K + 1)]).first()
         facts["discounts"][n] = good_turing(np.array(sums))
         told = told.unionByName(tables[-1].where("block >= 0"))
