@@ -205,14 +205,27 @@ def _abl(spark, sf):
     return out.select("model", "delta_gb_rmse", "delta_gb_mae", "delta_gb_r2")
 
 
-STRICT = "(SELECT * FROM fsco WHERE group_id NOT IN ('G3', 'G7'))"
+# Held-out levels and the customers they touch; training rows are those of all other customers.
+REFIT_SQL = """touch AS (SELECT DISTINCT scenario, holdout, equiv_id FROM fl), lev AS (SELECT DISTINCT scenario, holdout FROM fl),
+ tr AS (SELECT lev.scenario, lev.holdout, x_gross, y FROM lev JOIN rec ON is_event WHERE NOT EXISTS (SELECT 1 FROM touch t WHERE t.scenario = lev.scenario AND t.holdout = lev.holdout AND t.equiv_id = rec.equiv_id)),
+ ln0 AS (SELECT scenario, holdout, count(*) AS n_train, regr_slope(y, x_gross) AS slope, regr_intercept(y, x_gross) AS intercept FROM tr GROUP BY ALL),
+ refit AS (SELECT ln0.*, (SELECT sqrt(avg((tr.y - ln0.intercept - ln0.slope*tr.x_gross)*(tr.y - ln0.intercept - ln0.slope*tr.x_gross))) FROM tr WHERE tr.scenario = ln0.scenario AND tr.holdout = ln0.holdout) AS scale FROM ln0 WHERE n_train >= 3)"""
 
 
-@query("strict_comparison", f"""WITH {Q.factor_scored_sql()}, a AS ({Q.card_sql('scenario, model', STRICT)}), st AS (SELECT * REPLACE (pred + 0.01::double AS pred, row_nll + 0.1::double AS row_nll) FROM {STRICT}), b AS ({Q.card_sql('scenario, model', 'st')})
+@query("strict_refits", f"WITH {REFIT_SQL} SELECT scenario, holdout, n_train, slope, intercept, scale FROM refit", "scenario holdout n_train", "slope intercept scale", "fpred")
+def _refits(spark, sf):
+    return T.strict_lines(S.folded(spark, sf), {"LOEO": "env_class", "LOTO": "temp_bin"}, "x_gross", "y", "equiv_id").where("slope IS NOT NULL")
+
+
+@query("strict_comparison", f"""WITH {Q.factor_scored_sql()}, {REFIT_SQL}, org AS (SELECT * FROM fsco WHERE model = 'line' AND (scenario, holdout) IN (SELECT (scenario, holdout) FROM refit)), a AS ({Q.card_sql('scenario, model', 'org')}),
+  st0 AS (SELECT o.* EXCLUDE (pred, scale, row_nll), r.intercept + r.slope*o.x_gross AS pred, r.scale FROM org o JOIN refit r ON o.scenario = r.scenario AND o.holdout = r.holdout), st AS (SELECT *, {Q.NORMAL_LOSS} AS row_nll FROM st0), b AS ({Q.card_sql('scenario, model', 'st')})
   {' UNION ALL '.join(f"SELECT a.scenario, a.model, '{m}' AS metric, b.{m} - a.{m} AS strict_minus_original FROM a JOIN b ON a.scenario = b.scenario AND a.model = b.model" for m in T.CARD_METRICS)}""", "scenario model metric", "strict_minus_original", "fpred")
 def _strict(spark, sf):
-    original = M.with_row_loss(S.factor_predictions(spark, sf))
-    strict = original.where("group_id NOT IN ('G3', 'G7')").withColumns({"pred": c("pred") + 0.01, "row_nll": c("row_nll") + 0.1})
+    records = S.folded(spark, sf)
+    refits = settle(T.strict_lines(records, {"LOEO": "env_class", "LOTO": "temp_bin"}, "x_gross", "y", "equiv_id").where("slope IS NOT NULL"), "refits")
+    original = M.with_row_loss(S.factor_predictions(spark, sf).where("model = 'line'")).join(refits.select("scenario", "holdout"), ["scenario", "holdout"], "left_semi")
+    moved = original.drop("pred", "scale", "row_nll").join(records.select("row_id", "x_gross"), "row_id").join(refits.drop("n_train"), ["scenario", "holdout"])
+    strict = M.with_row_loss(moved.withColumn("pred", c("intercept") + c("slope") * c("x_gross")).drop("x_gross", "slope", "intercept"))
     return T.matched_comparison(strict, original, ["scenario", "model"])[1]
 
 

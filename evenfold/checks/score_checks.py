@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from evenfold.checks.registry import query
 from evenfold.functions import families as L
+from evenfold.functions.normal import HALF_LOG_2PI, log_sf_sql
 from evenfold.operators import metrics as M
 from evenfold.operators import ranks as RK
 from evenfold.operators import reshape as R
@@ -141,11 +142,12 @@ def _levels(spark, sf):
 Z = "((y-pred)/scale)"
 
 
-def factor_scored_sql() -> str:
-    from evenfold.functions.normal import HALF_LOG_2PI, log_sf_sql
+NORMAL_LOSS = f"CASE WHEN is_event THEN {HALF_LOG_2PI!r}::double + ln(scale) + 0.5::double*{Z}*{Z} ELSE -{log_sf_sql(Z)} END"
+
 
+def factor_scored_sql() -> str:
     q = {p: L.FAMILIES["normal"].quantile(p) for p in (0.1, 0.9, 0.05, 0.95)}
-    return f"""fsco AS (SELECT *, CASE WHEN is_event THEN {HALF_LOG_2PI!r}::double + ln(scale) + 0.5::double*{Z}*{Z} ELSE -{log_sf_sql(Z)} END AS row_nll,
+    return f"""fsco AS (SELECT *, {NORMAL_LOSS} AS row_nll,
      pred + scale*({q[0.1]!r}::double) AS lower80, pred + scale*({q[0.9]!r}::double) AS upper80, pred + scale*({q[0.05]!r}::double) AS lower90, pred + scale*({q[0.95]!r}::double) AS upper90 FROM fpred)"""
 
 

@@ -11,10 +11,11 @@ from evenfold.operators import folds as FO
 from evenfold.operators import metrics as M
 from evenfold.operators import resample as B
 from evenfold.operators import scores as SC
+from evenfold.operators.fit.closed_form import line_of
 from evenfold.operators.joins import side_by_side
 from evenfold.operators.reshape import long, wide
 from evenfold.roles import DEFAULT, Roles
-from evenfold.session import settle
+from evenfold.session import settle, with_scalars
 
 CARD_METRICS = ("gb_rmse", "gb_mae", "gb_r2", "joint_nll")
 
@@ -47,6 +48,27 @@ def development_rows(pred: DataFrame, k: int, fold: str = "fold", outer: str = "
     return pred.withColumn(outer, F.explode(others))
 
 
+def strict_lines(df: DataFrame, factors: dict[str, str], x: str, y: str, unit: str, roles: Roles = DEFAULT) -> DataFrame:
+    """Line refits of a leave-one-level-out plan that train on no unit seen in the held-out level.
+
+    The training sums of a level are the total less the sums of the units it touches, so all
+    levels are refitted from one table of unit sums and the (level, unit) cells; records are
+    read once. The scale is the spread of the training residuals. A level whose units leave
+    fewer than three training events has null parameters.
+    """
+    cx, cy = F.col(x), F.col(y)
+    moments = {"n": F.lit(1.0), "sx": cx, "sy": cy, "sxx": cx * cx, "sxy": cx * cy, "syy": cy * cy}
+    rows = df.where(F.col(roles.event)).groupBy(F.col(unit).alias("_u")).agg(*[F.sum(c).alias(n) for n, c in moments.items()])
+    units = settle(rows, "units")
+    touched = FO.long_factors(df, factors, [unit]).groupBy("scenario", "level", F.col(unit).alias("_u")).agg(F.count(F.lit(1)).alias("n_rows"))
+    gone = touched.join(units, "_u", "left").groupBy("scenario", "level").agg(*[F.coalesce(F.sum(n), F.lit(0.0)).alias(f"_{n}") for n in moments])
+    left = with_scalars(gone, units.agg(*[F.sum(n).alias(n) for n in moments])).select("scenario", F.col("level").alias("holdout"), *[(F.col(n) - F.col(f"_{n}")).alias(n) for n in moments])
+    slope, intercept = line_of(*[F.when(F.col("n") >= 3, F.col(n)) for n in ("n", "sx", "sy", "sxx", "sxy")])
+    fitted = left.withColumns({"slope": slope, "intercept": intercept})
+    error = (F.col("syy") - F.col("intercept") * F.col("sy") - F.col("slope") * F.col("sxy")) / F.col("n")
+    return fitted.select("scenario", "holdout", F.col("n").cast("long").alias("n_train"), "slope", "intercept", F.sqrt(F.greatest(error, F.lit(0.0))).alias("scale"))
+
+
 def matched_comparison(strict: DataFrame, original: DataFrame, scope: list[str], roles: Roles = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Strict and original predictions on the same test rows: score cards and differences."""
     same = original.join(strict.select(*scope, roles.row).distinct(), [*scope, roles.row], "left_semi")
