@@ -270,9 +270,11 @@ def _udiff(spark, sf):
     return D.compare_unkeyed(a, b, ["group_id", "env_class", "n_lines"])
 
 
-@query("recompute_audit", "SELECT DISTINCT model, true AS passed FROM pred", "model passed", "", "pred")
+# The stored result set is damaged in one model, by more than the tolerance, and in another by less.
+@query("recompute_audit", "SELECT DISTINCT model, model <> 'segment' AS passed FROM pred", "model passed", "", "pred")
 def _recompute(spark, sf):
-    saved = settle(M.point_metrics(S.predictions(spark, sf), ["model"]), "saved").select("model", "gb_rmse", "gb_mae", "gb_r2", "gb_f5")
+    damage = F.when(c("model") == "segment", 1e-4).when(c("model") == "const", 1e-14).otherwise(0.0)
+    saved = settle(M.point_metrics(S.predictions(spark, sf), ["model"]).withColumn("gb_mae", c("gb_mae") + damage), "saved").select("model", "gb_rmse", "gb_mae", "gb_r2", "gb_f5")
     return T.recompute_audit(S.predictions(spark, sf), saved, ["model"]).select("model", "passed")
 
 
