@@ -133,7 +133,8 @@ def _hashes(spark, sf):
     return A.fold_id_hashes(S.folded(spark, sf), ["fold"])
 
 
-@query("fold_fingerprints")
+@query("fold_fingerprints", """SELECT fold, count(*) AS n_rows, sum(h::hugeint)::varchar AS hash_sum, bit_xor(h) AS hash_xor
+  FROM (SELECT fold, ('0x' || substr(md5(cast(row_id AS varchar)), 1, 15))::BIGINT AS h FROM recf) GROUP BY fold""", "fold n_rows hash_sum hash_xor", "", "recf")
 def _fingerprints(spark, sf):
     return A.fold_fingerprints(S.folded(spark, sf), ["fold"])
 

@@ -63,12 +63,13 @@ def fold_fingerprints(df: DataFrame, keys: list[str], roles: Roles = DEFAULT) ->
     return df.groupBy(*keys).agg(*set_fingerprint(F.col(roles.row)))
 
 
-def fold_id_hashes(df: DataFrame, keys: list[str], roles: Roles = DEFAULT) -> DataFrame:
-    """sha256 over the sorted ids of each key, built from the hashes of 4096 parts.
+def fold_id_hashes(df: DataFrame, keys: list[str], roles: Roles = DEFAULT, digits: int = 3) -> DataFrame:
+    """sha256 over the sorted ids of each key, built from the hashes of 16^``digits`` parts.
 
     Parts are cut by md5 of the id, so no task ever holds more than its share of a hot key.
+    The hash depends on ``digits``: both sides of a comparison use the same, more for larger tables.
     """
-    part = F.substring(F.md5(F.col(roles.row).cast("string")), 1, 3)
+    part = F.substring(F.md5(F.col(roles.row).cast("string")), 1, digits)
     small = df.groupBy(*keys, part.alias("_part")).agg(
         id_list_sha(F.col(roles.row)).alias("_sha"), F.count(F.lit(1)).alias("_n"))
     return small.groupBy(*keys).agg(

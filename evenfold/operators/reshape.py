@@ -49,8 +49,9 @@ def issue_list(rules: dict[str, Column], fine: str) -> Column:
     return F.when(F.size(codes) > 0, F.array_join(codes, "|")).otherwise(fine)
 
 
-def pack_ids(df: DataFrame, keys: list[str], row: str, out: str = "ids", parts: int = 4096) -> DataFrame:
-    """Row ids of each split as arrays, cut into parts by hash so that no array grows with the split."""
+def pack_ids(df: DataFrame, keys: list[str], row: str, out: str = "ids", rows_per_part: int = 50_000) -> DataFrame:
+    """Row ids of each split as arrays of about ``rows_per_part`` at most, cut by hash, so that no array grows with the split."""
+    parts = 1 + df.count() // rows_per_part
     part = F.pmod(F.xxhash64(row), F.lit(parts)).alias("part")
     return df.groupBy(*keys, part).agg(F.array_sort(F.collect_list(row)).alias(out))
 
