@@ -118,3 +118,18 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     cores = max(parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
     df.write.bucketBy(cores, key).sortBy(key).option("path", f"{shared_folder(spark)}/evenfold/{name}").saveAsTable(name)
     return spark.table(name)
+
+
+ARROW_BYTES, ARROW_DEFAULT = "8m", "67108864b"
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose rows go to Python in Arrow batches of a few megabytes, unless the session sets its own size.
+
+    Texts differ in length, so the number of rows bounds no memory; Spark's default of 64 MB is held several times
+    over by the JVM and the worker of every running task.
+    """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == ARROW_DEFAULT:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    return df

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenfold.llm.common import bounded_batches, runs
+from evenfold.llm.common import bounded_batches, runs, text_batches
 from evenfold.session import settle
 
 #: Everything but ASCII digits, letters and bytes of longer characters becomes a space; A-Z is lowered.
@@ -139,7 +139,7 @@ def matches(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str =
     """
     out = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.lit(0).cast("long").alias("n"), F.expr(f"cast(array() as array<{MATCH}>)").alias("m"))
     for block, last in item_blocks(bench, item, item_text, block_chars):
-        out = out.mapInPandas(searching(block, width, last), out.schema)
+        out = text_batches(out).mapInPandas(searching(block, width, last), out.schema)
         if not last:
             out = settle(out, "matches")
     return out.select(F.col("k").alias(key), F.col("n").alias("n_words"), F.col("m").alias("matches"))
@@ -192,7 +192,7 @@ def clean(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "it
         return keep
 
     for block, last in item_blocks(bench, item, item_text, block_chars):
-        docs = docs.mapInArrow(keeping(block), schema)
+        docs = text_batches(docs).mapInArrow(keeping(block), schema)
         if not last:
             docs = settle(docs, "clean")
     return docs

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenfold.llm.common import bucketed, lower_space_words, mixed, runs, settled_clean
+from evenfold.llm.common import bucketed, lower_space_words, mixed, runs, settled_clean, text_batches
 
 K = 5
 ORDER = 2
@@ -145,7 +145,7 @@ def blocks(docs: DataFrame, key: str, text: str, learn: Column, block_chars: int
         if hashes:
             yield flush()
 
-    return bucketed(rows.mapInArrow(cut, f"block bigint, keys array<{kind}>, learn array<boolean>, sizes array<bigint>, words binary, counts binary, tokens binary"), "block")
+    return bucketed(text_batches(rows).mapInArrow(cut, f"block bigint, keys array<{kind}>, learn array<boolean>, sizes array<bigint>, words binary, counts binary, tokens binary"), "block")
 
 
 #: Answers to a block; rows of block -1 are the model's tables.

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evenfold.llm.bestfit import best_fit_decreasing
+from evenfold.llm.common import text_batches
 from evenfold.llm.token_files import parts
 from evenfold.llm.tokens import encoder
 from evenfold.session import settle
@@ -56,7 +57,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
                     [batch.column("k").take(pa.array(owner, pa.int64())), *[pa.array(c, pa.int64()) for c in columns[:5]], pa.array(columns[5], pa.binary())],
                     names=["k", "doc_tokens", "start", "length", "task", "rank_in_task", "ids"])
 
-    return settle(rows.mapInArrow(cut, PIECE.format(key=rows.schema["k"].dataType.simpleString())), "pieces")
+    return settle(text_batches(rows).mapInArrow(cut, PIECE.format(key=rows.schema["k"].dataType.simpleString())), "pieces")
 
 
 def assigned(cut: DataFrame, width: int = 2048) -> DataFrame:

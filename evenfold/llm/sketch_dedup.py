@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenfold.llm.common import lower_space_words, matching, mixed, runs, settled_clean
+from evenfold.llm.common import lower_space_words, matching, mixed, runs, settled_clean, text_batches
 
 BINS = 128
 BAND_ROWS = 4
@@ -100,7 +100,7 @@ def sketched(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
                 [batch.column("k"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
                 names=["k", "n", "f1", "f2", "bands"])
 
-    return rows.mapInArrow(apply, "k bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>")
+    return text_batches(rows).mapInArrow(apply, "k bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
@@ -113,7 +113,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, shingle: int
             yield pa.RecordBatch.from_arrays(
                 [batch.column("k"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["k", "n", "s"])
 
-    return rows.mapInArrow(apply, "k bigint, n bigint, s array<bigint>").where("n > 0")
+    return text_batches(rows).mapInArrow(apply, "k bigint, n bigint, s array<bigint>").where("n > 0")
 
 
 def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from evenfold.llm.common import text_batches
 from evenfold.llm.tokens import encoder
 from evenfold.session import shared_folder
 
@@ -56,7 +57,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), flat)
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(at, len(part)) for c in kept.names], pa.array(n), lists], names=schema.names)
 
-    named = rows.mapInArrow(encode, schema).select(F.col("_key").alias(key), *[F.col(f"_keep_{c}").alias(c) for c in keep], F.col("_n").alias("n_tokens"), F.col("_ids").alias("ids"))
+    named = text_batches(rows).mapInArrow(encode, schema).select(F.col("_key").alias(key), *[F.col(f"_keep_{c}").alias(c) for c in keep], F.col("_n").alias("n_tokens"), F.col("_ids").alias("ids"))
     named.write.options(**{
         "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.block.size": str(row_group_bytes),
         "parquet.page.size": str(page_bytes), "parquet.page.row.count.limit": str(page_rows),
@@ -89,7 +90,7 @@ def digests(frame: DataFrame) -> DataFrame:
             sums = [zlib.crc32(flat[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in rest], pa.array(sums, pa.int64())], names=schema.names)
 
-    return frame.mapInArrow(crc, schema)
+    return text_batches(frame).mapInArrow(crc, schema)
 
 
 def read(spark, path: str, *columns: str) -> DataFrame:

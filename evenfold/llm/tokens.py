@@ -19,7 +19,7 @@ _SINGLE = re.compile(r"(?<=\S) (?=\S)")
 #: Letters that both tokenizers keep together and that no normaliser recomposes, then marks of one pre-token.
 _PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([,.;:!?*#%$&|]*)")
 
-CACHE_WORDS = 700_000
+CACHE_WORDS = 340_000
 CACHED_LENGTH = 40
 
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evenfold.llm.common import text_batches
+
 WORD_MARK = "▁"
 BYTE_SCORE = -20.0
 RUN_CHARS = 8_000_000
@@ -127,4 +129,4 @@ def token_counts(docs: DataFrame, model_file: str, key: str = "doc_id", text: st
             n_words, n_tokens, score = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(score, pa.float64())], names=["k", "n_words", "n_tokens", "score"])
 
-    return rows.mapInArrow(apply, f"k {kind}, n_words bigint, n_tokens bigint, score double").withColumnRenamed("k", key)
+    return text_batches(rows).mapInArrow(apply, f"k {kind}, n_words bigint, n_tokens bigint, score double").withColumnRenamed("k", key)
