@@ -30,6 +30,8 @@ from evenfold.session import shared_folder
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 1 << 20
 PAGE_ROWS = 5_000
+#: Words whose ids a worker keeps: files are written by a job of its own, which has the memory to itself.
+CACHE_WORDS = 700_000
 
 
 def new_folder(docs: DataFrame, label: str) -> str:
@@ -47,7 +49,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text:
     end = end_id.to_bytes(4, "little")
 
     def encode(batches):
-        words = encoder(tokenizer, leading_space)
+        words = encoder(tokenizer, leading_space, CACHE_WORDS)
         for batch in batches:
             texts = batch.column("_text")
             for at, part in parts(texts):

@@ -36,8 +36,9 @@ class WordEncoder(dict):
     and letters are lowered.
     """
 
-    def __init__(self, path: str, leading_space: bool):
+    def __init__(self, path: str, leading_space: bool, cache_words: int = CACHE_WORDS):
         super().__init__()
+        self.cache_words = cache_words
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.merges = self.tokenizer.model
@@ -71,7 +72,7 @@ class WordEncoder(dict):
         if ids is None:
             plain = _PLAIN.fullmatch(word)
             ids = self._pre_token(plain[1]) + self._marks(plain[2]) if plain else self._whole(word)
-            if len(word) <= CACHED_LENGTH and len(self.bare) < CACHE_WORDS // 10:
+            if len(word) <= CACHED_LENGTH and len(self.bare) < self.cache_words // 10:
                 self.bare[word] = ids
         return ids
 
@@ -91,7 +92,7 @@ class WordEncoder(dict):
         return self._keep(word, self._whole(" " + word if self.leading_space else word))
 
     def _keep(self, word: str, ids: bytes) -> bytes:
-        if len(word) <= CACHED_LENGTH and len(self) < CACHE_WORDS:
+        if len(word) <= CACHED_LENGTH and len(self) < self.cache_words:
             self[word] = ids
         return ids
 
@@ -110,8 +111,8 @@ class WordEncoder(dict):
 _ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
 
 
-def encoder(path: str, leading_space: bool) -> WordEncoder:
-    """One encoder per Python worker and tokenizer."""
+def encoder(path: str, leading_space: bool, cache_words: int = CACHE_WORDS) -> WordEncoder:
+    """One encoder per Python worker and tokenizer; about 160 bytes per cached word."""
     if (path, leading_space) not in _ENCODERS:
-        _ENCODERS[path, leading_space] = WordEncoder(path, leading_space)
+        _ENCODERS[path, leading_space] = WordEncoder(path, leading_space, cache_words)
     return _ENCODERS[path, leading_space]
