@@ -1,14 +1,21 @@
 """Personal data: patterns, and terms that reveal a protected value by co-occurrence.
 
 Patterns give the base spans (email, ip, card, phone). Their values are protected
-entities. Letters-only terms near an entity are weighed by how strongly they reveal
-it: disclosure(e; t) = PMI(e; t) / IC(e), which is 1 when t occurs only with e and
-about 0 when they are independent. Co-occurrence counts distinct contexts of an
-entity, so copies of one passage count once; term frequencies are taken over all
-documents. A term of at least ``GENERALISE`` is replaced by a general label beside
-that entity, one of at least ``REMOVE`` is removed.
+entities. Letters-only terms are weighed by how strongly they reveal an entity that
+stands anywhere in the same text: disclosure(e; t) = PMI(e; t) / IC(e), about 0 when
+they are independent; it nears 1 as more texts hold t and all of them hold e.
+
+    p(e|t) = (n_et - 1 + p(e)) / n_t,  p(e) = n_e / n       one text of each pair is replaced by
+    disclosure = ln(p(e|t) / p(e)) / ln(1 / p(e))           what independence would give
+
+n counts texts, n_e and n_t those that hold e and t, n_et both. Every rare word
+stands in one text with something, so one text alone weighs 0; two of two give
+1 - ln 2 / IC. A term of at least ``GENERALISE`` for any entity is replaced by a
+general label wherever it stands, one of at least ``REMOVE`` is removed.
 
 All work is done by DataFrame functions. Offsets are code points, ends exclusive.
+Terms are runs of letters outside base spans, told apart by 64-bit hashes of their
+lower case.
 
 Defined results: a null text has no spans; a null language or source is not read;
 repeated rows get the same spans; spans of one kind never overlap, a term span
@@ -22,7 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenfold.llm.common import fresh, let, small_side
+from evenfold.llm.common import fresh, let, settled_clean, small_side
 from evenfold.session import settle
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -37,8 +44,6 @@ PATTERNS = {
 }
 TERM = r"\p{L}+"
 LEAST_TERM = 3
-REACH = 80
-LEAST_CONTEXTS = 3
 GENERALISE = 0.8
 REMOVE = 0.95
 
@@ -86,62 +91,100 @@ VALID: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def base_spans(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, h, base, contexts) per row: the base spans in order, and the terms around each of them.
+def base_places(t: Column) -> Column:
+    """The base spans of a text in order, as structs (s, kind, e, v)."""
+    def tagged(kind: int) -> Column:
+        return F.transform(located(t, PATTERNS[KINDS[kind]], VALID[KINDS[kind]]), lambda p: F.struct(p["s"].alias("s"), F.lit(kind).alias("kind"), p["e"].alias("e"), p["v"].alias("v")))
 
-    ``h`` is a hash of the text: rows of one key and one text share their spans.
-    A term that the window may have cut is left out.
-    """
-    t = F.coalesce(F.col(text), F.lit(""))
-    found = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), t.alias("t"), *[located(t, PATTERNS[x], VALID[x]).alias(x) for x in KINDS[:4]])
+    return F.array_sort(F.concat(*map(tagged, range(4))))
+
+
+def replaced(t: Column, places: Column, label: Callable[[Column], Column]) -> Column:
+    """The text with every span (s, kind, e, label) of ``places`` replaced by its ``label``; overlapping spans are one, labelled by the first."""
+    def merge(acc: Column, p: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        longer = F.struct(last["s"].alias("s"), last["kind"].alias("kind"), F.greatest(last["e"], p["e"]).alias("e"), last["label"].alias("label"))
+        return F.when(F.coalesce(last["e"] > p["s"], F.lit(False)), F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(acc, F.array(p)))
+
+    merged = F.aggregate(places, F.expr("cast(array() as array<struct<s: bigint, kind: int, e: bigint, label: string>>)"), merge)
+
+    def rewritten(spans_: Column) -> Column:
+        def piece(p: Column, i: Column) -> Column:
+            at = F.coalesce(F.get(spans_, i - 1)["e"], F.lit(0).cast("long"))
+            return F.concat(F.substring(t, (at + 1).cast("int"), (p["s"] - at).cast("int")), label(p))
+
+        tail = F.substring(t, (F.get(spans_, F.size(spans_) - 1)["e"] + 1).cast("int"), F.length(t))
+        return F.when(F.size(spans_) == 0, t).otherwise(F.concat(F.array_join(F.transform(spans_, piece), ""), tail))
+
+    return let(merged, rewritten)
 
-    def tagged(kind: int) -> Column:
-        return F.transform(KINDS[kind], lambda p: F.struct(p["s"].alias("s"), F.lit(kind).alias("kind"), p["e"].alias("e"), p["v"].alias("v")))
 
-    rows = found.select("k", "h", "t", F.array_sort(F.concat(*map(tagged, range(4)))).alias("base"))
+def masked(t: Column, base: Column) -> Column:
+    """The text with blanks for the base spans, so that other places stay."""
+    blank = F.transform(base, lambda p: F.struct(p["s"].alias("s"), p["kind"].alias("kind"), p["e"].alias("e"), F.lit("").alias("label")))
+    return F.when(F.size(base) == 0, t).otherwise(replaced(t, blank, lambda p: F.repeat(F.lit(" "), (p["e"] - p["s"]).cast("int"))))
 
-    def terms(start: Column, size: Column) -> Column:
-        near = located(F.substring(F.col("t"), (start + 1).cast("int"), size.cast("int")), TERM, lambda v: F.length(v) >= LEAST_TERM)
-        whole = F.filter(near, lambda p: ((p["s"] > 0) | (start == 0)) & ((p["e"] < size) | (start + size >= F.length("t"))))
-        return F.transform(whole, lambda p: F.struct((p["s"] + start).alias("s"), (p["e"] + start).alias("e"), F.lower(p["v"]).alias("v")))
 
-    def context(p: Column) -> Column:
-        start = F.greatest(p["s"] - REACH, F.lit(0).cast("long"))
-        around = F.concat(terms(start, p["s"] - start), terms(p["e"], F.lit(REACH).cast("long")))
-        clear = F.filter(around, lambda w: ~F.exists("base", lambda b: (b["s"] < w["e"]) & (b["e"] > w["s"])))
-        return F.struct(F.xxhash64(p["kind"], F.lower(p["v"])).alias("entity"), clear.alias("terms"))
+def base_spans(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, h, base, entities, terms) per row: the base spans in order, and hashes of the distinct protected values and terms of the text.
 
-    return rows.select("k", "h", F.transform("base", lambda p: F.struct(p["s"].alias("s"), p["kind"].alias("kind"), p["e"].alias("e"))).alias("base"),
-                       F.transform("base", context).alias("contexts"))
+    ``h`` is a hash of the text: rows of one key and one text share their spans.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), t.alias("t"), base_places(t).alias("base"))
+    words = F.filter(F.split(F.lower(masked(F.col("t"), F.col("base"))), r"\P{L}+"), lambda w: F.length(w) >= LEAST_TERM)
+    return rows.select(
+        "k", "h", F.transform("base", lambda p: F.struct(p["s"].alias("s"), p["kind"].alias("kind"), p["e"].alias("e"))).alias("base"),
+        F.array_distinct(F.transform("base", lambda p: F.xxhash64(p["kind"], F.lower(p["v"])))).alias("entities"),
+        F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))).alias("terms"))
 
 
-def document_frequency(docs: DataFrame, text: str) -> DataFrame:
-    """(term, df): documents that hold each letters-only term, counted before the shuffle."""
-    words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\P{L}+")
-    return docs.select(F.explode(F.array_distinct(F.filter(words, lambda w: F.length(w) >= LEAST_TERM))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def revealing(facts: DataFrame, least: float) -> DataFrame:
+    """(term, level): the terms that reveal an entity at a level of ``least`` or more (above 0), each with its highest level.
 
+    Pairs are added up before the shuffle. A level of ``least`` needs p(e|t) of at least p(e) ** (1 - least), so a term in more than
+    n_e * p(e) ** (least - 1) texts reveals no entity of n_e texts; a pair of one text has level 0. What cannot reach ``least`` by these
+    bounds is left out before the join.
+    """
+    texts = facts.select("h", "entities", "terms")
+    total = texts.count()
+    bearing = texts.where(F.size("entities") > 0)
+    often = settle(bearing.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where("n_e > 1"), "entities")
+    most = often.agg(F.coalesce(F.max("n_e"), F.lit(0))).first()[0]
+    reach = most * (total / most) ** (1 - least) if most else 0
+    held = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).where(F.col("n_t").between(2, F.lit(float(reach))))
+    pairs = bearing.select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where("n_et > 1")
+    prior = F.col("n_e") / F.lit(float(total or 1))
+    level = F.ln((F.col("n_et") - 1 + prior) / F.col("n_t") / prior) / F.greatest(-F.ln(prior), F.lit(1e-9))
+    weighed = pairs.join(often, "entity").join(held, "term").select("term", level.alias("level")).where(F.col("level") >= least)
+    return settled_clean(weighed.groupBy("term").agg(F.max("level").alias("level")), "revealing")
+
+
+def term_spans(docs: DataFrame, facts: DataFrame, key: str, text: str, generalise: float) -> DataFrame:
+    """(k, h, terms): term spans (s, kind, e, level) of the texts of ``docs`` that hold a revealing term, once per key and text."""
+    strong = revealing(facts, generalise)
+    near = small_side(strong, 2 * strong.count())
+    hits = facts.select("k", "h", F.explode("terms").alias("term")).join(near, "term").groupBy("k", "h").agg(F.map_from_entries(F.collect_set(F.struct("term", "level"))).alias("levels"))
+    hits = settle(hits, "hits")
+    size = hits.agg(F.coalesce(F.sum(2 + 2 * F.size("levels")), F.lit(0))).first()[0]
+    t = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(key).alias("_k"), F.xxhash64(text).alias("_h"), t.alias("t"))
+    rows = rows.join(small_side(hits, size), F.col("_k").eqNullSafe(F.col("k")) & (F.col("_h") == F.col("h"))).select("k", "h", "t", "levels", base_places(F.col("t")).alias("base"))
 
-def disclosures(facts: DataFrame, docs: DataFrame, text: str, least_contexts: int) -> DataFrame:
-    """(entity, term, level): how strongly each supported term reveals the entity, from all contexts and all documents."""
-    one = facts.select(F.explode("contexts").alias("c")).select("c.entity", F.xxhash64(F.transform("c.terms", lambda w: w["v"])).alias("context"), F.array_distinct(F.transform("c.terms", lambda w: w["v"])).alias("terms"))
-    contexts = one.groupBy("entity", "context").agg(F.any_value("terms").alias("terms"))
-    often = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= least_contexts)
-    pairs = contexts.join(often, "entity").select("entity", "n_e", F.explode("terms").alias("term")).groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= least_contexts)
-    total = docs.select(F.count(F.lit(1)).alias("n"))
-    weighed = pairs.join(document_frequency(docs, text), "term").withColumn("n", total.scalar().cast("double"))
-    pmi = F.ln(F.least(F.col("n_et") / F.col("df"), F.lit(1.0)) * F.col("n") / F.col("n_e"))
-    return weighed.withColumn("level", pmi / F.greatest(F.ln(F.col("n") / F.col("n_e")), F.lit(1e-9))).select("entity", "term", "level")
+    def level(v: Column) -> Column:
+        return F.try_element_at("levels", F.xxhash64(F.lower(v)))
 
+    found = located(masked(F.col("t"), F.col("base")), TERM, lambda v: (F.length(v) >= LEAST_TERM) & level(v).isNotNull())
+    terms = F.transform(found, lambda p: F.struct(p["s"].alias("s"), F.lit(4).alias("kind"), p["e"].alias("e"), level(p["v"]).alias("level")))
+    return settle(rows.select("k", "h", terms.alias("terms")).dropDuplicates(["k", "h"]), "terms")
 
-def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least_contexts: int = LEAST_CONTEXTS, generalise: float = GENERALISE) -> DataFrame:
+
+def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", generalise: float = GENERALISE) -> DataFrame:
     """(k, h, base, terms): base spans (s, kind, e) and term spans (s, kind, e, level) of every row of ``docs``."""
     docs = docs.select(key, text)
     facts = settle(base_spans(docs, key, text), "spans")
-    strong = disclosures(facts, docs, text, least_contexts).where(F.col("level") >= generalise)
-    near = facts.select("k", "h", F.explode("contexts").alias("c")).select("k", "h", "c.entity", F.explode("c.terms").alias("w")).select("k", "h", "entity", F.col("w.v").alias("term"), "w.s", "w.e")
-    hits = near.join(strong, ["entity", "term"]).groupBy("k", "h", "s", "e").agg(F.max("level").alias("level"))
-    each = hits.groupBy(F.col("k").alias("_k"), F.col("h").alias("_h")).agg(F.array_sort(F.collect_list(F.struct("s", F.lit(4).alias("kind"), "e", "level"))).alias("terms"))
-    rows = facts.drop("contexts").join(each, F.col("k").eqNullSafe(F.col("_k")) & (F.col("h") == F.col("_h")), "left").drop("_k", "_h")
+    each = term_spans(docs, facts, key, text, generalise).toDF("_k", "_h", "terms")
+    rows = facts.select("k", "h", "base").join(each, F.col("k").eqNullSafe(F.col("_k")) & (F.col("h") == F.col("_h")), "left").drop("_k", "_h")
     return rows.withColumn("terms", F.coalesce("terms", F.expr("cast(array() as array<struct<s: bigint, kind: int, e: bigint, level: double>>)")))
 
 
@@ -155,39 +198,22 @@ def all_spans() -> Column:
     return F.concat("base", F.transform("terms", lambda p: F.struct(p["s"].alias("s"), p["kind"].alias("kind"), p["e"].alias("e"))))
 
 
-def sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text", remove: float = REMOVE, **options) -> DataFrame:
+def sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text", generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """The documents with their columns, each span replaced: base spans and weaker terms by a label, strong terms by nothing.
 
     Overlapping spans are one replacement, labelled by the first of them. Base spans
-    are found again in the row itself, so only the few term spans are joined.
+    are found again in the row itself, so only the term spans are joined.
     """
-    strong = settle(spans(docs, key, text, **options).where(F.size("terms") > 0).select("k", "h", "terms").dropDuplicates(["k", "h"]), "terms")
+    plain = docs.select(key, text)
+    strong = term_spans(plain, settle(base_spans(plain, key, text), "spans"), key, text, generalise)
     size = strong.agg(F.coalesce(F.sum(2 + 4 * F.size("terms")), F.lit(0))).first()[0]
-    k, h, terms, cuts = (fresh(docs, x) for x in ("_k", "_h", "_terms", "_cuts"))
-    near = small_side(strong.toDF(k, h, terms), size)
-    rows = docs.join(near, F.col(key).eqNullSafe(F.col(k)) & (F.xxhash64(text) == F.col(h)), "left")
+    k, h, terms = (fresh(docs, x) for x in ("_k", "_h", "_terms"))
+    rows = docs.join(small_side(strong.toDF(k, h, terms), size), F.col(key).eqNullSafe(F.col(k)) & (F.xxhash64(text) == F.col(h)), "left")
     labels = F.array(*[F.lit(f"[{x.upper()}]") for x in KINDS])
     t = F.coalesce(F.col(text), F.lit(""))
-
-    def base(kind: int) -> Column:
-        return F.transform(located(t, PATTERNS[KINDS[kind]], VALID[KINDS[kind]]), lambda p: F.struct(p["s"].alias("s"), F.lit(kind).alias("kind"), p["e"].alias("e"), F.get(labels, F.lit(kind)).alias("label")))
-
+    base = F.transform(base_places(t), lambda p: F.struct(p["s"].alias("s"), p["kind"].alias("kind"), p["e"].alias("e"), F.get(labels, p["kind"]).alias("label")))
     added = F.transform(F.coalesce(F.col(terms), F.expr("cast(array() as array<struct<s: bigint, kind: int, e: bigint, level: double>>)")),
                         lambda p: F.struct(p["s"].alias("s"), p["kind"].alias("kind"), p["e"].alias("e"), F.when(p["level"] >= remove, F.lit("")).otherwise(F.get(labels, p["kind"])).alias("label")))
-
-    def merge(acc: Column, p: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        longer = F.struct(last["s"].alias("s"), last["kind"].alias("kind"), F.greatest(last["e"], p["e"]).alias("e"), last["label"].alias("label"))
-        return F.when(F.coalesce(last["e"] > p["s"], F.lit(False)), F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(acc, F.array(p)))
-
-    merged = F.aggregate(F.array_sort(F.concat(*map(base, range(4)), added)), F.expr("cast(array() as array<struct<s: bigint, kind: int, e: bigint, label: string>>)"), merge)
-
-    def rewritten(spans_: Column) -> Column:
-        def piece(p: Column, i: Column) -> Column:
-            at = F.coalesce(F.get(spans_, i - 1)["e"], F.lit(0).cast("long"))
-            return F.concat(F.substring(t, (at + 1).cast("int"), (p["s"] - at).cast("int")), p["label"])
-
-        tail = F.substring(t, (F.get(spans_, F.size(spans_) - 1)["e"] + 1).cast("int"), F.length(t))
-        return F.when(F.size(spans_) == 0, F.col(text)).otherwise(F.concat(F.array_join(F.transform(spans_, piece), ""), tail))
-
-    return rows.select(*[let(merged, rewritten).alias(c) if c == text else F.col(c) for c in docs.columns])
+    places = F.array_sort(F.concat(base, added))
+    clean = let(places, lambda x: F.when(F.size(x) == 0, F.col(text)).otherwise(replaced(t, x, lambda p: p["label"])))
+    return rows.select(*[clean.alias(c) if c == text else F.col(c) for c in docs.columns])

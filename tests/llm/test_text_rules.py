@@ -90,6 +90,25 @@ def test_revealing_terms_are_found_and_removed(spark):
     assert all(clean[i] == texts[i] for i in texts if i >= 100)
 
 
+def test_far_terms_are_found_and_replaced_everywhere(spark):
+    """The term stands 500 characters from its entity; one document names it alone; a word of one text only is kept."""
+    far = " common words and more text" * 20
+    told = [(i, f"Zorblax{far} writes from boss@corp.example only{'abcdefgh'[i] * 3}") for i in range(6)]
+    docs = spark.createDataFrame(told + [(50, f"about zorblax{far} here")] + [(100 + i, f"writes from common words and more text about here {i}") for i in range(300)], "doc_id long, text string")
+    found = {r.k: r.terms for r in disclosure.spans(docs).where(F.size("terms") > 0).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert set(found) == {*range(6), 50} and {texts[k][t.s:t.e] for k, x in found.items() for t in x} == {"Zorblax", "zorblax"}
+    clean = {r.doc_id: r.text for r in disclosure.sanitised(docs).collect()}
+    assert not any("orblax" in clean[i] for i in clean) and clean[50].endswith(f"{far} here") and "onlyaaa" in clean[0]
+
+
+def test_every_entity_is_weighed(spark):
+    """Two texts are enough for a level; one text is no evidence."""
+    docs = spark.createDataFrame([(0, "Quux wrote to a@b.co again"), (1, "again to a@b.co from quux"), (2, "lone c@d.co and hapax")] + [(10 + i, f"wrote again from and lone {i}") for i in range(400)], "doc_id long, text string")
+    found = disclosure.spans(docs).where(F.size("terms") > 0).collect()
+    assert {(r.k, t.s, t.e) for r in found for t in r.terms} == {(0, 0, 4), (1, 21, 25)}
+
+
 def test_sanitised_texts_keep_the_rest(spark):
     docs = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
     clean = {r.doc_id: r.text for r in disclosure.sanitised(docs).collect()}
