@@ -8,7 +8,8 @@ they are independent; it nears 1 as more texts hold t and all of them hold e.
     p(e|t) = (n_et - 1 + p(e)) / n_t,  p(e) = n_e / n       one text of each pair is replaced by
     disclosure = ln(p(e|t) / p(e)) / ln(1 / p(e))           what independence would give
 
-n counts texts, n_e and n_t those that hold e and t, n_et both. Every rare word
+n counts distinct texts, n_e and n_t those that hold e and t, n_et both; copies of a
+text count once in all four. Every rare word
 stands in one text with something, so one text alone weighs 0; two of two give
 1 - ln 2 / IC. A term of at least ``GENERALISE`` for any entity is replaced by a
 general label wherever it stands, one of at least ``REMOVE`` is removed.
@@ -146,12 +147,12 @@ def revealing(facts: DataFrame, least: float) -> DataFrame:
     n_e * p(e) ** (least - 1) texts reveals no entity of n_e texts; a pair of one text has level 0. What cannot reach ``least`` by these
     bounds is left out before the join.
     """
-    texts = facts.select("h", "entities", "terms")
-    total = texts.count()
-    bearing = texts.where(F.size("entities") > 0)
+    total = facts.select("h").distinct().count()
+    bearing = settle(facts.where(F.size("entities") > 0).groupBy("h").agg(F.any_value("entities").alias("entities"), F.any_value("terms").alias("terms")), "bearing")
     often = settle(bearing.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where("n_e > 1"), "entities")
     most = often.agg(F.coalesce(F.max("n_e"), F.lit(0))).first()[0]
     reach = most * (total / most) ** (1 - least) if most else 0
+    texts = facts.groupBy("h").agg(F.any_value("terms").alias("terms"))
     held = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).where(F.col("n_t").between(2, F.lit(float(reach))))
     pairs = bearing.select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where("n_et > 1")
     prior = F.col("n_e") / F.lit(float(total or 1))

@@ -1,6 +1,7 @@
 """Chat collapse, sanitisation and quality rules against plain Python."""
 
 import hashlib
+import math
 import re
 
 import duckdb
@@ -109,6 +110,17 @@ def test_every_entity_is_weighed(spark):
     assert {(r.k, t.s, t.e) for r in found for t in r.terms} == {(0, 0, 4), (1, 21, 25)}
 
 
+def test_copies_count_once_on_both_sides(spark):
+    """Three texts in 100 copies each give the level of three texts; one text in many copies gives none."""
+    told = [f"Zorblax writes {x} from boss@corp.example" for x in ("one", "two", "six")] * 100 + ["Hapax from c@d.co"] * 100
+    docs = spark.createDataFrame(list(enumerate(told + [f"writes one two six from {i}" for i in range(996)])), "doc_id long, text string")
+    found = disclosure.spans(docs).where(F.size("terms") > 0).collect()
+    assert {r.k for r in found} == set(range(300)) and {(t.s, t.e) for r in found for t in r.terms} == {(0, 7)}
+    prior = 3 / 1000
+    want = math.log((2 + prior) / 3 / prior) / math.log(1 / prior)
+    assert all(t.level == pytest.approx(want) for r in found for t in r.terms)
+
+
 def test_sanitised_texts_keep_the_rest(spark):
     docs = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
     clean = {r.doc_id: r.text for r in disclosure.sanitised(docs).collect()}
