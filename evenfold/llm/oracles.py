@@ -45,6 +45,31 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.a = d.doc_id
 """
 
 
+def either_case(pattern: str) -> str:
+    """The pattern with ``(?i:...)`` written as classes: RE2 would also fold letters outside ASCII."""
+    head, start, rest = pattern.partition("(?i:")
+    inside, end, tail = rest.partition(")")
+    return pattern if not start else head + "(?:" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in inside) + end + tail
+
+
+def secret_spans(rules, base: int) -> str:
+    """SQL of the secret scan; ``rules`` are (kind, pattern, least, group), the first ``base`` of them the base ones."""
+    parts = []
+    for i, r in enumerate(rules):
+        p = "'" + either_case(r.pattern).replace("'", "''") + "'"
+        parts.append(f"SELECT doc_id, {i} AS i, '{r.kind}' AS kind, {r.least} AS least, regexp_extract_all(t, {p}) AS m, regexp_extract_all(t, {p}, {r.group}) AS g, regexp_split_to_array(t, {p}) AS s FROM d")
+    counts = ", ".join(f"count(*) FILTER (WHERE i = {i}) AS n_{r.kind}" for i, r in enumerate(rules[:base]))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({' UNION ALL '.join(parts)}),
+x AS (SELECT *, unnest(generate_series(1, len(m))) AS j FROM f WHERE len(m) > 0),
+y AS (SELECT doc_id, i, kind, (length(array_to_string(s[1:j], '')) + length(array_to_string(m[1:j - 1], '')))::bigint AS a, length(m[j]) AS n FROM x WHERE length(g[j]) >= least),
+c AS (SELECT doc_id, {counts}, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, i) AS spans, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, i) FILTER (WHERE i < {base}) AS b FROM y GROUP BY doc_id)
+SELECT d.doc_id, {', '.join(f'coalesce(n_{r.kind}, 0)::bigint AS n_{r.kind}' for r in rules[:base])}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id
+"""
+
+
 def quality_rules(rules, least_group: int, symbols: str) -> str:
     """SQL of the adaptive rules; ``rules`` are (name, reach, least_spread, low)."""
     rates = {"word_length": "100 * word_chars // greatest(n_words, 1)", "symbol_rate": "1000 * n_symbols // greatest(n_words, 1)",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenfold.llm import adaptive_rules, chat, decontaminate, disclosure, katz, oracles, packing, pairwise_quality, sketch_dedup, token_files, trie_counts
+from evenfold.llm import adaptive_rules, chat, decontaminate, disclosure, katz, oracles, packing, pairwise_quality, secret_scan, sketch_dedup, token_files, trie_counts
 from evenfold.llm.common import documents, remainder_of_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return katz.scored(docs, remainder_of_id(F.col("doc_id"), 5) != 1).select(
         "doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@registered("op13_trigram_secret_scan", oracles.secret_spans(secret_scan.RULES, len(secret_scan.BASE)))
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, spans, n = secret_scan.scan(documents(spark, sf_dir)), F.col("spans"), len(secret_scan.BASE)
+    counts = [F.size(secret_scan.of_kinds(spans, i, i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(secret_scan.BASE)]
+    base = F.sha2(secret_scan.listed(secret_scan.of_kinds(spans, 0, n - 1)).cast("binary"), 256)
+    return found.select(F.col("key").alias("doc_id"), *counts, base.alias("base_sha256"), secret_scan.listed(spans).alias("spans"))
