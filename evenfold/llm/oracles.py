@@ -44,6 +44,20 @@ SELECT d.doc_id, coalesce(n.n, 0)::bigint AS n_shingles, least(d.doc_id, coalesc
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.a = d.doc_id
 """
 
+TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+
+SEARCH = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '{TERM}') AS t FROM documents),
+n AS (SELECT doc_id, len(t)::bigint AS n FROM d WHERE len(t) > 0),
+tot AS (SELECT count(*)::bigint AS docs, sum(n)::bigint AS terms FROM n),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({LOWER}, '{TERM}')) AS term FROM benchmark),
+tf AS (SELECT doc_id, term, count(*)::bigint AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::bigint AS w FROM tf, tot GROUP BY term),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))::bigint AS score
+  FROM i JOIN w USING (term) JOIN tf USING (term) JOIN n USING (doc_id), tot GROUP BY ALL)
+SELECT item_id, rank::integer AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 50
+"""
+
 
 def either_case(pattern: str) -> str:
     """The pattern with ``(?i:...)`` written as classes: RE2 would also fold letters outside ASCII."""

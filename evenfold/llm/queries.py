@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenfold.llm import adaptive_rules, chat, decontaminate, disclosure, katz, oracles, packing, pairwise_quality, secret_scan, sketch_dedup, token_files, trie_counts
+from evenfold.llm import adaptive_rules, chat, decontaminate, dense_search, disclosure, katz, oracles, packing, pairwise_quality, secret_scan, sketch_dedup, token_files, trie_counts
 from evenfold.llm.common import documents, remainder_of_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,9 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.size(secret_scan.of_kinds(spans, i, i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(secret_scan.BASE)]
     base = F.sha2(secret_scan.listed(secret_scan.of_kinds(spans, 0, n - 1)).cast("binary"), 256)
     return found.select(F.col("key").alias("doc_id"), *counts, base.alias("base_sha256"), secret_scan.listed(spans).alias("spans"))
+
+
+@registered("op11_dense_blas_search", oracles.SEARCH)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dense_search.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("key").alias("doc_id"), "score")
