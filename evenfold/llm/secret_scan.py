@@ -29,6 +29,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,9 @@ SEGMENT = 3_000_000
 PLACE_BITS = 20
 LOWER = np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8)
 KEYS_ROW = -1
+#: Rows of a page, the unit a search skips; and so many values at most reach the pages' statistics as a set.
+PAGE_ROWS = 500
+PUSHED_VALUES = 10
 
 
 def posting_lists(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,7 +119,7 @@ def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
     """Write the trigram index of ``docs``, sorted by trigram in each file."""
     kind = docs.schema[key].dataType.simpleString()
     rows = text_batches(docs.select(key, text)).mapInArrow(indexed, f"segment bigint, gram int, docs array<int>, keys array<{kind}>")
-    rows.sortWithinPartitions("gram").write.option("compression", "zstd").parquet(path)
+    rows.sortWithinPartitions("gram").write.option("compression", "zstd").option("parquet.page.row.count.limit", PAGE_ROWS).parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -141,7 +145,9 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """
     queries = {i: q for i, q in enumerate(G.query_of(r.pattern) for r in rules) if q != G.ANY}
     wanted = set().union(*[G.grams_of(q) for q in queries.values()])
-    read = index.where(F.col("gram").isin([KEYS_ROW, *sorted(wanted)]))
+    listed_grams = [KEYS_ROW, *sorted(wanted)]
+    pushed = [F.col("gram").isin(listed_grams[i:i + PUSHED_VALUES]) for i in range(0, len(listed_grams), PUSHED_VALUES)]
+    read = index.where(reduce(or_, pushed))
     one = read.groupBy("segment").agg(
         F.map_from_entries(F.collect_list(F.when(F.col("gram") != KEYS_ROW, F.struct("gram", "docs")))).alias("lists"),
         F.max_by("keys", F.when(F.col("gram") == KEYS_ROW, 1)).alias("keys"))
