@@ -44,6 +44,60 @@ SELECT d.doc_id, coalesce(n.n, 0)::bigint AS n_shingles, least(d.doc_id, coalesc
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.a = d.doc_id
 """
 
+#: crc32 of ``key``, a text of ASCII characters, by the table of its 256 byte remainders.
+CRC = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(key, ''), lambda c: ord(c)::bigint)),
+  lambda a, b: xor(a >> 8, tab[xor(a & 255, b) + 1])), 4294967295::bigint)"""
+NO_BLANK = "rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+def edited(state: str, cost: str, letter: str) -> str:
+    """A cell, written as eight digits of cost and the audit, after one more edit; no cell stays none."""
+    return f"(lpad((substr({state}, 1, 8)::int + {cost})::varchar, 8, '0') || substr({state}, 9) || '{letter}')"
+
+
+def repair_step() -> str:
+    """The cells of the four points after a turn x (its initial, then 1 if truncated; 'D' if it must go) and insertions."""
+    extra, may = "(3 * (x[1][2] = '1')::int)", "x[1] <> 'D'"
+    before_u = "least(a[1], a[2], a[4])"
+    def keep(initial: str, state: str) -> str:
+        return f"CASE WHEN {may} AND x[1][1] = '{initial}' THEN {edited(state, extra, 'K')} END"
+    def turn(state: str) -> str:
+        return f"CASE WHEN {may} THEN {edited(state, f'3 + {extra}', 'R')} END"
+    t = [edited(f"a[{i}]", "4", "D") for i in range(1, 5)]
+    t = [t[0], f"least({t[1]}, {keep('s', 'a[1]')})", f"least({t[2]}, {keep('u', before_u)}, {turn(before_u)})", f"least({t[3]}, {keep('a', 'a[3]')}, {turn('a[3]')})"]
+    return f"list_transform([[{', '.join(t)}]], lambda t: {CLOSED})[1]"
+
+
+CLOSED_U = f"least(t[3], {edited('t[1]', '3', 'I')}, {edited('t[2]', '3', 'I')}, {edited('t[4]', '3', 'I')})"
+CLOSED = f"list_transform([{CLOSED_U}], lambda u: [t[1], t[2], u, least(t[4], {edited('u', '3', 'I')})])[1]"
+
+REPAIR = f"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::bigint) ELSE c >> 1 END)) AS tab),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') AS key FROM conversations),
+d AS (SELECT conv_id, turn, role, text, {CRC} % 20 AS kind FROM k, crc),
+r AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM d WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS pos, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+  {NO_BLANK} AS bare, substr(role, 1, 1) AS i FROM r),
+f AS (SELECT *, bare = '' AS blank, bare <> '' AND again AS dup, bare <> '' AND NOT again AND bare[-1] NOT IN ('.', '!', '?') AS trunc,
+  lag(i) OVER (PARTITION BY conv_id ORDER BY pos) || i AS pair FROM o),
+c AS (SELECT conv_id, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE dup) AS duplicate, count(*) FILTER (WHERE trunc) AS truncated,
+  count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+  list_prepend(list_transform([['00000000', NULL, NULL, NULL]], lambda t: {CLOSED})[1],
+    list([CASE WHEN blank OR dup THEN 'D' ELSE (CASE WHEN i = '' THEN '-' ELSE i END) || (CASE WHEN trunc THEN '1' ELSE '0' END) END] ORDER BY pos)) AS steps FROM f GROUP BY conv_id),
+v AS (SELECT * EXCLUDE steps, list_reduce(steps, lambda a, x: {repair_step()}) AS cells FROM c),
+b AS (SELECT * EXCLUDE cells, least(cells[1], cells[4]) AS cell FROM v),
+l AS (SELECT conv_id, n, letter, sum((letter <> 'I')::int) OVER w AS pos, sum((letter <> 'D')::int) OVER w - 1 AS place FROM
+  (SELECT conv_id, unnest(generate_series(1, length(cell) - 8)) AS n, unnest(string_split(substr(cell, 9), '')) AS letter FROM b WHERE length(cell) > 8) WINDOW w AS (PARTITION BY conv_id ORDER BY n)),
+p AS (SELECT conv_id, count(*) FILTER (WHERE letter <> 'D') % 2 AS opens FROM l GROUP BY conv_id),
+q AS (SELECT l.conv_id, l.n, CASE WHEN letter = 'K' THEN f.role WHEN (place + opens) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE f.text END AS line
+  FROM l JOIN p ON l.conv_id IS NOT DISTINCT FROM p.conv_id LEFT JOIN f ON l.conv_id IS NOT DISTINCT FROM f.conv_id AND l.pos = f.pos WHERE letter <> 'D'),
+t AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY n) AS text FROM q GROUP BY conv_id)
+SELECT u.conv_id, coalesce(gaps, 0)::bigint AS gaps, coalesce(blank, 0)::bigint AS blank, coalesce(duplicate, 0)::bigint AS duplicate, coalesce(truncated, 0)::bigint AS truncated,
+  coalesce(illegal, 0)::bigint AS illegal, coalesce(substr(cell, 1, 8)::bigint, 0) AS cost, coalesce(substr(cell, 9), '') AS audit, sha256(coalesce(t.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) u LEFT JOIN b ON u.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN t ON u.conv_id IS NOT DISTINCT FROM t.conv_id
+"""
+
 TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 SEARCH = f"""

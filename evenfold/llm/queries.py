@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenfold.llm import adaptive_rules, chat, decontaminate, dense_search, disclosure, katz, oracles, packing, pairwise_quality, secret_scan, sketch_dedup, token_files, trie_counts
+from evenfold.llm import adaptive_rules, chat, decontaminate, dense_search, disclosure, katz, oracles, packing, pairwise_quality, secret_scan, sketch_dedup, token_files, trie_counts, turn_repair
 from evenfold.llm.common import documents, remainder_of_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,17 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dense_search.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(F.col("item").alias("item_id"), "rank", F.col("key").alias("doc_id"), "score")
+
+
+@registered("op12_interval_turn_repair", oracles.REPAIR)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    whole, pieces = turn_repair.repaired(turn_repair.damaged(conversations))
+    ids = conversations.select(F.col("conv_id")).distinct()
+    found = ids.join(whole.drop("edits"), F.col("conv_id").eqNullSafe(F.col("conv")), "left").drop("conv")
+    texts = turn_repair.digests(pieces, whole)
+    found = found.join(texts, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    zero = F.lit(0).cast("long")
+    return found.select(
+        "conv_id", F.coalesce(F.col("most") - F.col("least") + 1 - F.col("numbers"), zero).alias("gaps"), *[F.coalesce(c, zero).alias(c) for c in ("blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
