@@ -6,7 +6,7 @@ import importlib
 
 from evenfold.checks.registry import QUERIES, SQL
 
-MODULES = ("basics", "projections", "contract_checks", "join_checks", "score_checks", "selection_checks", "audit_checks", "model_checks")
+MODULES = ("basics", "projections", "contract_checks", "join_checks", "score_checks", "selection_checks", "audit_checks", "model_checks", "learner_checks")
 
 for _name in MODULES:
     importlib.import_module(f"evenfold.checks.{_name}")
