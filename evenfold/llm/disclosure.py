@@ -127,37 +127,49 @@ def masked(t: Column, base: Column) -> Column:
 
 
 def base_spans(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, h, base, entities, terms) per row: the base spans in order, and hashes of the distinct protected values and terms of the text.
+    """(key, h, row, base, entities, terms) per row: the base spans in order, and hashes of the distinct protected values and terms of the text.
 
-    ``h`` is a hash of the text: rows of one key and one text share their spans.
+    ``h`` is a hash of the text: rows of one key and one text share their spans. ``row`` numbers the rows; the caller stores it before use.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), t.alias("t"), base_places(t).alias("base"))
     words = F.filter(F.split(F.lower(masked(F.col("t"), F.col("base"))), r"\P{L}+"), lambda w: F.length(w) >= LEAST_TERM)
     return rows.select(
-        "k", "h", F.transform("base", lambda p: F.struct(p["s"].alias("s"), p["kind"].alias("kind"), p["e"].alias("e"))).alias("base"),
+        "k", "h", F.monotonically_increasing_id().alias("row"), F.transform("base", lambda p: F.struct(p["s"].alias("s"), p["kind"].alias("kind"), p["e"].alias("e"))).alias("base"),
         F.array_distinct(F.transform("base", lambda p: F.xxhash64(p["kind"], F.lower(p["v"])))).alias("entities"),
         F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))).alias("terms"))
 
 
+def once(facts: DataFrame) -> DataFrame:
+    """One row per distinct text: rows of repeated texts other than the first are left out, the rest stay where they are.
+
+    Only hashes and row numbers are grouped; the arrays of terms move only if there are too many repeated texts to broadcast.
+    """
+    seen = facts.groupBy("h").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("h").alias("_h"), "first")
+    seen = settle(seen, "repeated_texts")
+    return facts.join(small_side(seen, 2 * seen.count()), F.col("h") == F.col("_h"), "left").where("first IS NULL OR row = first").drop("_h", "first")
+
+
 def revealing(facts: DataFrame, least: float) -> DataFrame:
     """(term, level): the terms that reveal an entity at a level of ``least`` or more (above 0), each with its highest level.
 
     Pairs are added up before the shuffle. A level of ``least`` needs p(e|t) of at least p(e) ** (1 - least), so a term in more than
-    n_e * p(e) ** (least - 1) texts reveals no entity of n_e texts; a pair of one text has level 0. What cannot reach ``least`` by these
-    bounds is left out before the join.
+    n_e * p(e) ** (least - 1) texts reveals no entity of n_e texts; a pair of one text has level 0, and with it an entity or a term of one text. What cannot
+    reach ``least`` by these bounds is left out before entities and terms of a text are paired.
     """
+    texts = once(facts)
     total = facts.select("h").distinct().count()
-    bearing = settle(facts.where(F.size("entities") > 0).groupBy("h").agg(F.any_value("entities").alias("entities"), F.any_value("terms").alias("terms")), "bearing")
-    often = settle(bearing.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where("n_e > 1"), "entities")
+    often = settle(texts.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where("n_e > 1"), "entities")
     most = often.agg(F.coalesce(F.max("n_e"), F.lit(0))).first()[0]
     reach = most * (total / most) ** (1 - least) if most else 0
-    texts = facts.groupBy("h").agg(F.any_value("terms").alias("terms"))
+    bearing = texts.select("h", F.explode("entities").alias("entity")).join(small_side(often, 2 * often.count()), "entity").groupBy("h").agg(F.collect_list(F.struct("entity", "n_e")).alias("own"))
+    bearing = settle(bearing, "bearing").withColumnRenamed("h", "_h")
+    telling = texts.select("h", "terms").join(small_side(bearing, 3 * bearing.count()), F.col("h") == F.col("_h")).select("own", F.explode("terms").alias("term"))
     held = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).where(F.col("n_t").between(2, F.lit(float(reach))))
-    pairs = bearing.select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where("n_et > 1")
+    pairs = telling.join(held, "term").select("term", "n_t", F.inline("own")).groupBy("entity", "term", "n_e", "n_t").agg(F.count(F.lit(1)).alias("n_et")).where("n_et > 1")
     prior = F.col("n_e") / F.lit(float(total or 1))
     level = F.ln((F.col("n_et") - 1 + prior) / F.col("n_t") / prior) / F.greatest(-F.ln(prior), F.lit(1e-9))
-    weighed = pairs.join(often, "entity").join(held, "term").select("term", level.alias("level")).where(F.col("level") >= least)
+    weighed = pairs.select("term", level.alias("level")).where(F.col("level") >= least)
     return settled_clean(weighed.groupBy("term").agg(F.max("level").alias("level")), "revealing")
 
 
