@@ -4,11 +4,18 @@ Every document gets integer measurements. Their distribution in a (language,
 source) group is kept as a sketch: counts of logarithmic-linear buckets that keep
 six leading bits, so a quantile is off by at most one part in 32. Two sketches are
 merged by adding counts, which is how sparse groups fall back to their language
-and then to the whole corpus. A cutoff is a quartile moved outwards by a multiple
-of the quartile distance, so a group without outliers loses nothing.
+and then to the whole corpus. A cutoff is an upper quantile of the sketch moved
+outwards by a multiple of its distance from the median, so it follows both the
+level and the tail of its group. The distance is at least the rounding of the
+sketch, one unit and a 32nd of the value. A habit of a quarter of a group (symbols)
+or of more than one document in twenty (repeated lines and words) lifts its cutoff.
+
+One event in a document is no evidence: rates are judged on the count less
+``spared`` events, as one repeated line in five says little about a document.
 
 Defined results: a null or empty text has no words and fails the base rule; null
-languages and sources are groups of their own; repeated rows count each time; an
+languages and sources are groups of their own; a value equal to its cutoff is
+kept; repeated rows count each time; a text of any length is measured whole; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -28,20 +35,24 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Rule:
-    """One measurement: how far beyond the quartiles a value may lie, in quartile distances."""
+    """One measurement: the percentile that is its upper level, and how far beyond it a value may lie, in distances from the median.
+
+    ``low`` adds the mirrored lower bound.
+    """
 
     name: str
+    upper: int
     reach: int
-    least_spread: int
+    spared: int = 0
     low: bool = False
 
 
-#: Parts per thousand, but for the mean word length in hundredths of a character.
+#: Parts per thousand, but for the mean word length in hundredths of a character. One repeated three-word window covers six words.
 RULES = (
-    Rule("word_length", 4, 60, low=True),
-    Rule("symbol_rate", 4, 25),
-    Rule("dup_line_rate", 4, 100),
-    Rule("repeat_rate", 4, 100),
+    Rule("word_length", 90, 4, low=True),
+    Rule("symbol_rate", 75, 4, spared=1),
+    Rule("dup_line_rate", 95, 4, spared=1),
+    Rule("repeat_rate", 95, 4, spared=6),
 )
 LEAST_GROUP = 200
 
@@ -92,12 +103,14 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def rates() -> dict[str, Column]:
+def rates(spared: bool = False) -> dict[str, Column]:
+    """The measurements by rule; with ``spared`` of the counts less the events that each rule spares."""
+    less = {r.name: r.spared if spared else 0 for r in RULES}
     return {
         "word_length": F.expr("100 * word_chars div greatest(n_words, 1L)"),
-        "symbol_rate": F.expr("1000 * n_symbols div greatest(n_words, 1L)"),
-        "dup_line_rate": F.expr("1000 * n_dup_lines div greatest(n_lines, 1L)"),
-        "repeat_rate": F.expr("1000 * n_repeat_words div greatest(n_words, 1L)"),
+        "symbol_rate": F.expr(f"1000 * greatest(n_symbols - {less['symbol_rate']}, 0L) div greatest(n_words, 1L)"),
+        "dup_line_rate": F.expr(f"1000 * greatest(n_dup_lines - {less['dup_line_rate']}, 0L) div greatest(n_lines, 1L)"),
+        "repeat_rate": F.expr(f"1000 * greatest(n_repeat_words - {less['repeat_rate']}, 0L) div greatest(n_words, 1L)"),
     }
 
 
@@ -107,6 +120,11 @@ def bucket(value: Column) -> Column:
     return value - value % unit
 
 
+def rounding(value: Column) -> Column:
+    """At least the width of the value's bucket."""
+    return F.floor(value / 32) + 1
+
+
 def sketches(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, rule, value, n): one mergeable quantile sketch per key and rule."""
     stacked = F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), bucket(rates()[r.name]).alias("value")) for r in RULES]))
@@ -117,14 +135,16 @@ def merged(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return sketch.groupBy(*keys, "rule", "value").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, rule, total, q1, q3) of each sketch: the smallest value that a quarter, or three, lie at or below."""
+def levels(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, rule, total, lower, middle, upper) of each sketch: the smallest values that these shares of its rows lie at or below."""
     by = Window.partitionBy(*keys, "rule")
-    run = sketch.withColumn("_c", F.sum("n").over(by.orderBy("value"))).withColumn("_t", F.sum("n").over(by))
+    upper = F.element_at(F.create_map(*[F.lit(x) for r in RULES for x in (r.name, r.upper)]), F.col("rule"))
+    run = sketch.withColumn("_c", 100 * F.sum("n").over(by.orderBy("value"))).withColumn("_t", F.sum("n").over(by)).withColumn("_u", upper)
     return run.groupBy(*keys, "rule").agg(
         F.max("_t").alias("total"),
-        F.min(F.when(4 * F.col("_c") >= F.col("_t"), F.col("value"))).alias("q1"),
-        F.min(F.when(4 * F.col("_c") >= 3 * F.col("_t"), F.col("value"))).alias("q3"),
+        F.min(F.when(F.col("_c") >= (100 - F.col("_u")) * F.col("_t"), F.col("value"))).alias("lower"),
+        F.min(F.when(F.col("_c") >= 50 * F.col("_t"), F.col("value"))).alias("middle"),
+        F.min(F.when(F.col("_c") >= F.col("_u") * F.col("_t"), F.col("value"))).alias("upper"),
     )
 
 
@@ -134,31 +154,32 @@ def cutoffs(sketch: DataFrame, lang: str = "lang", source: str = "source", least
     A group of fewer than ``least_group`` measured rows takes the sketch of its
     language, and that of all rows where the language is as small.
     """
-    own = quartiles(sketch, [lang, source])
-    by_lang = quartiles(merged(sketch, [lang]), [lang]).select(F.col(lang).alias("_l"), F.col("rule").alias("_r"), F.struct("total", "q1", "q3").alias("_lang"))
-    overall = quartiles(merged(sketch, []), []).select(F.col("rule").alias("_ra"), F.struct("total", "q1", "q3").alias("_all"))
+    parts = ("total", "lower", "middle", "upper")
+    own = levels(sketch, [lang, source])
+    by_lang = levels(merged(sketch, [lang]), [lang]).select(F.col(lang).alias("_l"), F.col("rule").alias("_r"), F.struct(*parts).alias("_lang"))
+    overall = levels(merged(sketch, []), []).select(F.col("rule").alias("_ra"), F.struct(*parts).alias("_all"))
     picked = (
         own.join(by_lang, F.col(lang).eqNullSafe(F.col("_l")) & (F.col("rule") == F.col("_r")))
         .join(overall, F.col("rule") == F.col("_ra"))
-        .withColumn("_q", F.when(F.col("total") >= least_group, F.struct("total", "q1", "q3"))
+        .withColumn("_q", F.when(F.col("total") >= least_group, F.struct(*parts))
                     .when(F.col("_lang.total") >= least_group, F.col("_lang")).otherwise(F.col("_all")))
     )
+    lower, middle, upper = (F.col(f"_q.{p}") for p in parts[1:])
     bounds = []
     for r in RULES:
-        spread = r.reach * F.greatest(F.col("_q.q3") - F.col("_q.q1"), F.lit(r.least_spread))
         mine = F.col("rule") == r.name
-        bounds.append(F.max(F.when(mine, F.col("_q.q3") + spread)).alias(f"hi_{r.name}"))
+        bounds.append(F.max(F.when(mine, upper + r.reach * F.greatest(upper - middle, rounding(upper)))).alias(f"hi_{r.name}"))
         if r.low:
-            bounds.append(F.max(F.when(mine, F.col("_q.q1") - spread)).alias(f"lo_{r.name}"))
+            bounds.append(F.max(F.when(mine, lower - r.reach * F.greatest(middle - lower, rounding(lower)))).alias(f"lo_{r.name}"))
     return picked.groupBy(F.col(lang).alias("_lang_key"), F.col(source).alias("_source_key")).agg(*bounds)
 
 
 def within_cutoffs() -> Column:
-    ok = F.lit(True)
+    ok, values = F.lit(True), rates(spared=True)
     for r in RULES:
-        ok = ok & (rates()[r.name] <= F.col(f"hi_{r.name}"))
+        ok = ok & (values[r.name] <= F.col(f"hi_{r.name}"))
         if r.low:
-            ok = ok & (rates()[r.name] >= F.col(f"lo_{r.name}"))
+            ok = ok & (values[r.name] >= F.col(f"lo_{r.name}"))
     return ok
 
 

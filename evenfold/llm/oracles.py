@@ -139,17 +139,27 @@ FROM d LEFT JOIN c ON d.doc_id = c.doc_id
 
 
 def quality_rules(rules, least_group: int, symbols: str) -> str:
-    """SQL of the adaptive rules; ``rules`` are (name, reach, least_spread, low)."""
-    rates = {"word_length": "100 * word_chars // greatest(n_words, 1)", "symbol_rate": "1000 * n_symbols // greatest(n_words, 1)",
-             "dup_line_rate": "1000 * n_dup_lines // greatest(n_lines, 1)", "repeat_rate": "1000 * n_repeat_words // greatest(n_words, 1)"}
-    stacked = " UNION ALL ".join(f"SELECT lang, source, '{r.name}' AS rule, {rates[r.name]} AS v FROM b WHERE NOT base_failed" for r in rules)
+    """SQL of the adaptive rules; ``rules`` are (name, upper, reach, spared, low)."""
+    counts = {"word_length": ("100", "word_chars", "n_words"), "symbol_rate": ("1000", "n_symbols", "n_words"),
+              "dup_line_rate": ("1000", "n_dup_lines", "n_lines"), "repeat_rate": ("1000", "n_repeat_words", "n_words")}
+
+    def rate(name: str, less: int = 0) -> str:
+        unit, above, below = counts[name]
+        return f"{unit} * greatest({above} - {less}, 0) // greatest({below}, 1)"
+
+    stacked = " UNION ALL ".join(f"SELECT lang, source, '{r.name}' AS rule, {r.upper} AS u, {rate(r.name)} AS v FROM b WHERE NOT base_failed" for r in rules)
+    mine = "FROM cut WHERE cut.lang IS NOT DISTINCT FROM b.lang AND cut.source IS NOT DISTINCT FROM b.source AND rule ="
     tests = []
     for r in rules:
-        spread = f"{r.reach} * greatest(q3 - q1, {r.least_spread})"
-        hi = f"(SELECT q3 + {spread} FROM cut WHERE cut.lang IS NOT DISTINCT FROM b.lang AND cut.source IS NOT DISTINCT FROM b.source AND rule = '{r.name}')"
-        tests.append(f"{rates[r.name]} <= {hi}")
+        tests.append(f"{rate(r.name, r.spared)} <= (SELECT hi + {r.reach} * greatest(hi - mid, hi // 32 + 1) {mine} '{r.name}')")
         if r.low:
-            tests.append(f"{rates[r.name]} >= {hi.replace('q3 + ', 'q1 - ', 1)}")
+            tests.append(f"{rate(r.name, r.spared)} >= (SELECT lo - {r.reach} * greatest(mid - lo, lo // 32 + 1) {mine} '{r.name}')")
+
+    def levels(keys: str, sketch: str) -> str:
+        by = f"PARTITION BY {keys}rule"
+        return f"""SELECT {keys}rule, max(t) AS t, {{'lo': min(v) FILTER (WHERE 100 * c >= (100 - u) * t), 'mid': min(v) FILTER (WHERE 100 * c >= 50 * t), 'hi': min(v) FILTER (WHERE 100 * c >= u * t)}} AS s FROM
+  (SELECT *, sum(n) OVER ({by} ORDER BY v) AS c, sum(n) OVER ({by}) AS t FROM {sketch}) GROUP BY ALL"""
+
     return f"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS w,
   [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '{SPACED}')] AS lines FROM documents),
@@ -161,15 +171,12 @@ m AS (SELECT d.doc_id, lang, source, len(w)::bigint AS n_words, len(lines) AS n_
   FROM d LEFT JOIN rep ON rep.doc_id = d.doc_id),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
 st AS ({stacked}),
-sk AS (SELECT lang, source, rule, v - v % (1::bigint << greatest(length(bin(v)) - 6, 0)) AS v, count(*) AS n FROM st GROUP BY ALL),
-q AS (SELECT lang, source, rule, max(t) AS t, min(v) FILTER (WHERE 4 * c >= t) AS q1, min(v) FILTER (WHERE 4 * c >= 3 * t) AS q3 FROM
-  (SELECT *, sum(n) OVER (PARTITION BY lang, source, rule ORDER BY v) AS c, sum(n) OVER (PARTITION BY lang, source, rule) AS t FROM sk) GROUP BY ALL),
-lq AS (SELECT lang, rule, max(t) AS t, min(v) FILTER (WHERE 4 * c >= t) AS q1, min(v) FILTER (WHERE 4 * c >= 3 * t) AS q3 FROM
-  (SELECT *, sum(n) OVER (PARTITION BY lang, rule ORDER BY v) AS c, sum(n) OVER (PARTITION BY lang, rule) AS t FROM (SELECT lang, rule, v, sum(n) AS n FROM sk GROUP BY ALL)) GROUP BY ALL),
-aq AS (SELECT rule, max(t) AS t, min(v) FILTER (WHERE 4 * c >= t) AS q1, min(v) FILTER (WHERE 4 * c >= 3 * t) AS q3 FROM
-  (SELECT *, sum(n) OVER (PARTITION BY rule ORDER BY v) AS c, sum(n) OVER (PARTITION BY rule) AS t FROM (SELECT rule, v, sum(n) AS n FROM sk GROUP BY ALL)) GROUP BY ALL),
-cut AS (SELECT q.lang, q.source, q.rule, CASE WHEN q.t >= {least_group} THEN q.q1 WHEN lq.t >= {least_group} THEN lq.q1 ELSE aq.q1 END AS q1,
-  CASE WHEN q.t >= {least_group} THEN q.q3 WHEN lq.t >= {least_group} THEN lq.q3 ELSE aq.q3 END AS q3
-  FROM q JOIN lq ON q.lang IS NOT DISTINCT FROM lq.lang AND q.rule = lq.rule JOIN aq ON q.rule = aq.rule)
+sk AS (SELECT lang, source, rule, u, v - v % (1::bigint << greatest(length(bin(v)) - 6, 0)) AS v, count(*) AS n FROM st GROUP BY ALL),
+q AS ({levels("lang, source, ", "sk")}),
+lq AS ({levels("lang, ", "(SELECT lang, rule, u, v, sum(n) AS n FROM sk GROUP BY ALL)")}),
+aq AS ({levels("", "(SELECT rule, u, v, sum(n) AS n FROM sk GROUP BY ALL)")}),
+cut AS (SELECT lang, source, rule, s.lo AS lo, s.mid AS mid, s.hi AS hi FROM
+  (SELECT q.lang, q.source, q.rule, CASE WHEN q.t >= {least_group} THEN q.s WHEN lq.t >= {least_group} THEN lq.s ELSE aq.s END AS s
+  FROM q JOIN lq ON q.lang IS NOT DISTINCT FROM lq.lang AND q.rule = lq.rule JOIN aq ON q.rule = aq.rule))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {' AND '.join(tests)} AS kept FROM b
 """

@@ -163,6 +163,30 @@ def test_outliers_of_a_source_are_rejected_and_its_habits_kept(spark):
     assert not got[2000] and all(v for k, v in got.items() if k != 2000)
 
 
+def test_every_rule_takes_its_cutoff_from_the_group(spark):
+    """The second source has longer words, more symbols, more repeated lines and more repeated words: all four cutoffs differ, and a document at home in one is odd in the other."""
+    def text(n, i, extra):
+        lines = [" ".join(f"w{i}x{n}y{j}z{k}" + "q" * (6 * extra) + (" #" if extra and k == 0 else "") for k in range(5)) for j in range(20)]
+        return "\n".join(lines + lines[:1 + i % 5] * extra)
+
+    rows = [(1000 * s + i, text(s, i, s), "en", f"source{s}") for s in (0, 1) for i in range(300)] + [(5000, text(2, 3, 1), "en", "source0"), (5001, text(2, 3, 1), "en", "source1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = adaptive_rules.judge(docs)
+    bounds = {r.source: r for r in got.select("source", *[c for c in got.columns if c[:3] in ("lo_", "hi_")]).distinct().collect()}
+    assert len(bounds) == 2
+    for rule in adaptive_rules.RULES:
+        assert bounds["source0"][f"hi_{rule.name}"] < bounds["source1"][f"hi_{rule.name}"]
+    assert [r.doc_id for r in got.where("not kept").collect()] == [5000]
+
+
+def test_a_single_event_is_spared(spark):
+    plain = [(i, "\n".join(" ".join(f"w{i}x{j}y{k}" for k in range(12)) for j in range(6)), "en", "a") for i in range(300)]
+    one = plain[0][1]
+    docs = [(900, one + " #", "en", "a"), (901, one + "\n" + "one\n" * 2, "en", "a"), (902, one + " # # # #", "en", "a"), (903, one + "\n" + "one\n" * 4, "en", "a")]
+    got = adaptive_rules.judge(spark.createDataFrame(plain + docs, "doc_id long, text string, lang string, source string"))
+    assert {r.doc_id for r in got.where("not kept").collect()} == {902, 903}
+
+
 def test_empty_digest_is_that_of_no_spans(spark):
     row = queries.QUERIES["op3_disclosure_sanitisation"](spark, SMALL).where("spans = ''").first()
     assert row.base_sha256 == hashlib.sha256(b"").hexdigest()
