@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from evenfold.session import settle
+
 
 def flat_columns(df: DataFrame) -> DataFrame:
     """Struct fields become columns named parent.child; arrays become text."""
@@ -63,11 +65,43 @@ def schema_differences(a: DataFrame, b: DataFrame) -> list[str]:
     return out + [f"type of {c}: {left[c]} / {right[c]}" for c in left if c in right and left[c] != right[c]]
 
 
-def compare_unkeyed(a: DataFrame, b: DataFrame, columns: list[str], rtol: float = 1e-10, atol: float = 1e-10) -> DataFrame:
+def chains(values: DataFrame, held: list[str], column: str, rtol: float, atol: float, parts: int | None = None) -> DataFrame:
+    """Distinct (``held``, ``column``) with ``_start``: the smallest value of the chain that the value belongs to.
+
+    Values of one ``held`` key follow one another in a chain while the step is no more than
+    ``atol + rtol |value|``. They are dealt into ranges of (key, value), so a key of any size is
+    spread over all ranges; from one range to the next only its last key and value and the start
+    of its last chain are carried, one row per range. Null, NaN and infinities chain only with themselves.
+    """
+    spark = values.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    v, key = F.col(column), F.struct(F.lit(0), *held)
+    dealt = settle(values.select(*held, column).distinct().repartitionByRange(parts, *held, column).withColumn("_part", F.spark_partition_id()), "ranges")
+    # One row per range from here to the carried values, whatever the number of values.
+    in_order = Window.orderBy("_part")
+    ends = dealt.groupBy("_part").agg(F.max(F.struct(key.alias("key"), v.alias("value"))).alias("_end"))
+    before = ends.withColumn("_before", F.lag("_end").over(in_order)).drop("_end")
+    local = Window.partitionBy("_part", *held).orderBy(column)
+    rows = dealt.join(F.broadcast(before), "_part").withColumn("_first", F.row_number().over(local) == 1).withColumn("_lag", F.lag(column).over(local))
+    follows = ~F.col("_first") | F.coalesce(F.col("_before.key").eqNullSafe(key) & F.col("_before").isNotNull(), F.lit(False))
+    last = F.when(F.col("_first"), F.col("_before.value")).otherwise(F.col("_lag"))
+    step = v - last
+    near = v.eqNullSafe(last) | F.coalesce((step <= atol + rtol * F.abs(v)) & (step < float("inf")), F.lit(False))
+    opened = F.when(~(follows & near), F.struct(v.alias("value")))
+    rows = rows.withColumn("_opened", opened).withColumn("_chain", F.last("_opened", ignorenulls=True).over(local.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = settle(rows.select(*held, column, "_part", "_chain"), "chains")
+    tails = rows.groupBy("_part").agg(F.max_by("_chain", F.struct(key, v)).alias("_tail"))
+    carried = tails.withColumn("_carried", F.last("_tail", ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, -1))).drop("_tail")
+    return rows.join(F.broadcast(carried), "_part").select(*held, column, F.coalesce("_chain", "_carried")["value"].alias("_start"))
+
+
+def compare_unkeyed(a: DataFrame, b: DataFrame, columns: list[str], rtol: float = 1e-10, atol: float = 1e-10, parts: int | None = None) -> DataFrame:
     """Tables without a key: rows that do not occur equally often on both sides, up to the tolerance.
 
     In each numeric column, values that follow one another by no more than
     ``atol + rtol |value|`` are one value; its smallest stands for it. Other columns compare exactly.
+    Columns are taken in turn, each within what the ones before left equal. Only distinct values are
+    put in order, in ranges, so neither a frequent value nor a frequent exact key is one task's work.
     """
     types = dict(a.dtypes)
     loose = [c for c in columns if types[c] in ("double", "float")]
@@ -76,15 +110,19 @@ def compare_unkeyed(a: DataFrame, b: DataFrame, columns: list[str], rtol: float
     def tagged(df: DataFrame, first: int) -> DataFrame:
         return df.select(*columns, F.lit(first).alias("_a"), F.lit(1 - first).alias("_b"))
 
-    # Equal rows first become one, so that only distinct rows are put in order.
+    # Equal rows first become one, so that only distinct rows are compared.
     both = tagged(a, 1).unionByName(tagged(b, 0)).groupBy(*columns).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
-    held = list(exact)
+    if not loose:
+        return both.withColumnsRenamed({"_a": "n_first", "_b": "n_second"}).where("n_first <> n_second").select(*columns, "n_first", "n_second")
+    both, held = settle(both, "unkeyed"), list(exact)
     for i, c in enumerate(loose):
-        order = Window.partitionBy(*held).orderBy(c) if held else Window.orderBy(c)
-        gap = F.col(c) - F.lag(c).over(order)
-        both = both.withColumn("_new", F.coalesce((gap > atol + rtol * F.abs(c)).cast("long"), F.lit(0)))
-        both = both.withColumn(f"_g{i}", F.sum("_new").over(order)).drop("_new")
+        known = chains(both, held, c, rtol, atol, parts)
+        names = {x: f"_k{n}" for n, x in enumerate([*held, c])}
+        known = known.withColumnsRenamed(names | {"_start": f"_g{i}"})
+        same = F.lit(True)
+        for x, k in names.items():
+            same = same & F.col(x).eqNullSafe(F.col(k))
+        both = both.join(known, same).drop(*names.values())
         held.append(f"_g{i}")
-    shown = [F.min(c).alias(c) for c in loose]
-    counted = both.groupBy(*held).agg(*shown, F.sum("_a").alias("n_first"), F.sum("_b").alias("n_second")) if loose else both.withColumnsRenamed({"_a": "n_first", "_b": "n_second"})
+    counted = both.groupBy(*held).agg(*[F.min(c).alias(c) for c in loose], F.sum("_a").alias("n_first"), F.sum("_b").alias("n_second"))
     return counted.where("n_first <> n_second").select(*columns, "n_first", "n_second")

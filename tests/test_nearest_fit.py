@@ -129,10 +129,24 @@ def test_mapped_fit_merges_the_parts_of_a_task(spark):
     df = spark.range(1000).select("id", F.lit(1).alias("k"))
     part = lambda p: pd.DataFrame({"k": [1], "n": [len(p)], "s": [int(p["id"].sum())]})
     total = lambda p: pd.DataFrame({"k": [1], "n": [p["n"].sum()], "s": [p["s"].sum()], "parts": [len(p)]})
-    row = MP.map_tasks(df, ["k"], part, "k int, n long, s long", total, "k int, n long, s long, parts long", parts=8).first()
+    row = MP.map_tasks(df, ["k"], part, "k int, n long, s long", total, "k int, n long, s long, parts long", rows_per_part=125).first()
     assert (row.n, row.s) == (1000, 499500) and row.parts == 8
 
 
+def test_equal_rows_and_null_tasks_are_spread(spark):
+    """One task of equal rows takes as many workers as its size asks for, a small one takes one, and no row is lost."""
+    import pandas as pd
+
+    df = spark.range(9000).select(F.when(F.col("id") < 8000, F.lit("hot")).when(F.col("id") < 8900, F.lit("b")).alias("k"), F.lit(1.5).alias("v"))
+    sizes = {(r.k, r._part): r["count"] for r in MP.dealt(df, ["k"], 1000).groupBy("k", "_part").count().collect()}
+    assert sum(sizes.values()) == 9000 and len([1 for k, _ in sizes if k == "hot"]) == 8 and max(sizes.values()) <= 1100
+    part = lambda p: pd.DataFrame({"k": [p["k"].iloc[0]], "s": [p["v"].sum()]})
+    total = lambda p: pd.DataFrame({"k": [p["k"].iloc[0]], "s": [p["s"].sum()], "states": [len(p)]})
+    fit = lambda rows: {r.k: (r.s, r.states) for r in MP.map_tasks(rows, ["k"], part, "k string, s double", total, "k string, s double, states long", 1000).collect()}
+    assert fit(df) == {"hot": (12000.0, 8), "b": (1350.0, 1), None: (150.0, 1)}
+    assert fit(df.where("false")) == {}
+
+
 def test_best_start_is_a_finite_one():
     fits = [LK.Fit({"hold": 1}, np.zeros(1), v, v, 1, True, 5) for v in (1.0, float("nan"), 0.5, float("inf"))]
     assert LK.best_of(fits)[0].objective == 0.5 and LK.best_of(fits[1:2])[0].objective != 0
