@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evenfold.checks import score_checks as Q
 from evenfold.checks import selection_checks as X
-from evenfold.checks.registry import query
+from evenfold.checks.registry import QUERIES, SQL, query
 from evenfold.operators import audits as A
 from evenfold.operators import diff as D
 from evenfold.operators import folds as FO
@@ -348,3 +348,57 @@ def _claims2(spark, sf):
     ev = F.sum(c("is_event").cast("long"))
     return CL.gate([CL.rule("events_present", rec, ev > 0, ev), CL.rule("enough_groups", rec, F.countDistinct("group_id") >= 5, F.countDistinct("group_id")),
                     CL.empty("no_duplicate_keys", C.duplicates(S.raw_rows(spark, sf), ["equiv_id"]))], ["events_present", "enough_groups"])
+
+
+#: Result tables that the claims read: name in the claims and registered query.
+STUDY = {"effects": "paired_bootstrap", "holdouts": "factor_paired_gains", "coverage": "interval_bootstrap", "intervals": "empirical_interval_summary",
+         "losses": "joint_losses", "parameters": "boundary_hits", "selection": "budget_rule"}
+OTHERS = [m for m in S.MODELS if m != S.PROPOSED]
+REQUIRED = ["multimetric_superiority", "holdout_point_superiority", "interval_coverage_nominal", "survival_noninferiority", "parameters_interior", "budget_never_relaxed"]
+
+
+def _study_sql() -> str:
+    """Every rule stated again over the SQL of the tables it reads."""
+    def d4(x: str) -> str:
+        return f"cast(cast({x} AS decimal(18,4)) AS varchar)"
+
+    def ratio(x: str) -> str:
+        return f"count(*) FILTER (WHERE {x}) || '/' || count(*)"
+
+    known = f"model IN ({', '.join(repr(m) for m in OTHERS)})"
+    rules = []
+    for m in OTHERS:
+        for name, value in (("point", "estimate"), ("interval", "lo")):
+            v = f"max({value}) FILTER (WHERE model = '{m}' AND effect = 'rmse')"
+            rules.append((f"beats_{m}_{name}", "effects", f"{v} > 0", d4(v)))
+    def counted(name: str, origin: str, condition: str, wanted: str) -> None:
+        n = f"count(*) FILTER (WHERE {condition})"
+        rules.append((name, origin, f"{n} = {wanted}", n))
+    counted("rmse_superiority", "effects", f"{known} AND effect = 'rmse' AND lo > 0", str(len(OTHERS)))
+    counted("multimetric_superiority", "effects", f"{known} AND lo > 0", f"{len(OTHERS)} * count(DISTINCT effect)")
+    held = f"{known} AND scenario IN ('LOEO', 'LOTO')"
+    for name, more in (("scenarios_complete", ""), ("point_superiority", " AND estimate > 0"), ("interval_superiority", " AND lo > 0")):
+        counted(f"holdout_{name}", "holdouts", held + more, str(2 * len(OTHERS)))
+    lo, hi = (f"max(coverage_{e}) FILTER (WHERE model = '{S.PROPOSED}')" for e in ("lo", "hi"))
+    rules.append(("interval_coverage_nominal", "coverage", f"{lo} <= 0.9 AND {hi} >= 0.9", f"{d4(lo)} || ',' || {d4(hi)}"))
+    rules.append(("intervals_complete", "intervals", "bool_and(interval_completeness = 1)", ratio("interval_completeness = 1")))
+    a, b = (f"max(censored_nll) FILTER (WHERE model = '{m}')" for m in (S.PROPOSED, "const"))
+    rules.append(("survival_noninferiority", "losses", f"{a} <= {b}", f"{d4(a)} || ',' || {d4(b)}"))
+    rules.append(("parameters_in_all_folds", "parameters", f"count(DISTINCT fold) = {S.K}", "count(DISTINCT fold)"))
+    rules.append(("parameters_finite", "parameters", "bool_and(isfinite(slope))", ratio("isfinite(slope)")))
+    rules.append(("slope_positive", "parameters", "min(slope) > 0", d4("min(slope)")))
+    rules.append(("parameters_interior", "parameters", "NOT bool_or(any_boundary_hit)", ratio("any_boundary_hit")))
+    rules.append(("all_candidates_scored", "selection", f"count(DISTINCT (fold, candidate)) = {S.K * len(X.ETAS)}", "count(DISTINCT (fold, candidate))"))
+    counted("budget_never_relaxed", "selection", "selected AND within", str(S.K))
+    rules.append(("every_training_set_has_censored_rows", "folds", "count(DISTINCT fold) FILTER (WHERE NOT is_event) > 1", "count(DISTINCT fold) FILTER (WHERE NOT is_event)"))
+    tables = ", ".join([f"t_{n} AS ({SQL[q]})" for n, q in STUDY.items()] + ["t_folds AS (SELECT fold, is_event FROM recf)"])
+    union = " UNION ALL ".join(f"SELECT '{g}' AS gate, coalesce({p}, false) AS passed, cast({e} AS varchar) AS evidence, '{o}' AS origin FROM t_{o}" for g, o, p, e in rules)
+    wanted = f"count(*) FILTER (WHERE passed AND gate IN ({', '.join(repr(g) for g in REQUIRED)}))"
+    return f"WITH {tables}, v AS ({union}) SELECT * FROM v UNION ALL SELECT 'overall_claim', {wanted} = {len(REQUIRED)}, {wanted} || '/{len(REQUIRED)}', 'all' FROM v"
+
+
+@query("claim_gate_study", _study_sql(), "gate passed evidence origin", "", "recf")
+def _study_claims(spark, sf):
+    tables = {n: QUERIES[q](spark, sf) for n, q in STUDY.items()} | {"folds": S.folded(spark, sf).select("fold", "is_event")}
+    claims = CL.study_claims(S.PROPOSED, "const", OTHERS, ["LOEO", "LOTO"], S.K, len(X.ETAS), 0.9)
+    return CL.overall(CL.judged(tables, claims), REQUIRED)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,3 +71,98 @@ def evaluation_rules(records: DataFrame, predictions: DataFrame, metrics: DataFr
         rule("choice_within_budget", candidates, F.bool_and(~c("selected") | c("within")), F.count(F.when(c("within"), 1))),
         rule("candidate_scores_finite", candidates, F.bool_and(~F.isnan("inner_rmse") & c("inner_rmse").isNotNull()), F.count(F.lit(1))),
     ]
+
+
+# ------------------------------------------------------------------ rules over result tables
+
+@dataclass(frozen=True)
+class Claim:
+    """A rule over the result table named ``origin``: two aggregates, the verdict and what backs it."""
+
+    name: str
+    origin: str
+    passed: Column
+    evidence: Column
+
+
+def judged(tables: dict[str, DataFrame], claims: list[Claim]) -> DataFrame:
+    """(gate, passed, evidence, origin) of all claims; every table is read once, by one aggregate that holds all its rules.
+
+    A verdict that is null, as on an empty table, fails. A claim on a table that is not there is an error.
+    """
+    missing = sorted({c.origin for c in claims} - set(tables))
+    if missing:
+        raise ValueError(f"claims on tables that are not given: {missing}")
+    out = None
+    for origin in dict.fromkeys(c.origin for c in claims):
+        rules = [
+            F.struct(F.lit(c.name).alias("gate"), F.coalesce(c.passed, F.lit(False)).alias("passed"), F.coalesce(c.evidence.cast("string"), F.lit("none")).alias("evidence")).alias(f"r{i}")
+            for i, c in enumerate(claims) if c.origin == origin]
+        one = tables[origin].agg(*rules)
+        part = one.select(F.inline(F.array(*one.columns)), F.lit(origin).alias("origin"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def overall(verdicts: DataFrame, required: list[str], name: str = "overall_claim") -> DataFrame:
+    """``verdicts`` and one row more: whether every required rule is there and passed."""
+    wanted = F.col("gate").isin(*required)
+    n = F.count(F.when(wanted & F.col("passed"), 1))
+    total = verdicts.agg((n == len(required)).alias("passed"), F.concat(n.cast("string"), F.lit(f"/{len(required)}")).alias("evidence"))
+    return verdicts.unionByName(total.select(F.lit(name).alias("gate"), "passed", "evidence", F.lit("all").alias("origin")))
+
+
+def four_digits(x: Column) -> Column:
+    return x.cast("decimal(18,4)").cast("string")
+
+
+def share(condition: Column) -> Column:
+    """How many of the rows meet ``condition``, as text."""
+    return F.concat(F.count(F.when(condition, 1)).cast("string"), F.lit("/"), F.count(F.lit(1)).cast("string"))
+
+
+def every(condition: Column) -> Column:
+    return F.bool_and(F.coalesce(condition, F.lit(False)))
+
+
+def study_claims(proposed: str, reference: str, comparators: list[str], scenarios: list[str], n_folds: int, n_candidates: int, nominal: float,
+                 slope: str = "slope") -> list[Claim]:
+    """What a finished study must show before it may claim to be better.
+
+    Tables: ``effects`` (model, effect, estimate, lo), ``holdouts`` (scenario, model, estimate, lo), ``coverage``
+    (model, coverage_lo, coverage_hi), ``intervals`` (model, interval_completeness), ``losses`` (model, censored_nll),
+    ``parameters`` (fold, a slope, any_boundary_hit), ``selection`` (fold, candidate, within, selected), ``folds`` (fold, is_event).
+    """
+    c = F.col
+    out = []
+    for m in comparators:
+        mine = (c("model") == m) & (c("effect") == "rmse")
+        gain, low = F.max(F.when(mine, c("estimate"))), F.max(F.when(mine, c("lo")))
+        out += [Claim(f"beats_{m}_point", "effects", gain > 0, four_digits(gain)), Claim(f"beats_{m}_interval", "effects", low > 0, four_digits(low))]
+    known, above = c("model").isin(*comparators), c("lo") > 0
+    rmse = c("effect") == "rmse"
+    pairs, kinds = len(comparators), F.countDistinct("effect")
+    held = c("scenario").isin(*scenarios) & known
+    loss = {m: F.max(F.when(c("model") == m, c("censored_nll"))) for m in (proposed, reference)}
+    inside = (c("coverage_lo") <= nominal) & (c("coverage_hi") >= nominal)
+    ours = c("model") == proposed
+    finite = c(slope).isNotNull() & ~F.isnan(slope) & (F.abs(slope) < float("inf"))
+    chosen = c("selected") & c("within")
+    return [
+        *out,
+        Claim("rmse_superiority", "effects", F.count(F.when(known & rmse & above, 1)) == pairs, F.count(F.when(known & rmse & above, 1))),
+        Claim("multimetric_superiority", "effects", F.count(F.when(known & above, 1)) == pairs * kinds, F.count(F.when(known & above, 1))),
+        Claim("holdout_scenarios_complete", "holdouts", F.count(F.when(held, 1)) == len(scenarios) * pairs, F.count(F.when(held, 1))),
+        Claim("holdout_point_superiority", "holdouts", F.count(F.when(held & (c("estimate") > 0), 1)) == len(scenarios) * pairs, F.count(F.when(held & (c("estimate") > 0), 1))),
+        Claim("holdout_interval_superiority", "holdouts", F.count(F.when(held & above, 1)) == len(scenarios) * pairs, F.count(F.when(held & above, 1))),
+        Claim("interval_coverage_nominal", "coverage", F.bool_and(F.when(ours, inside)), F.concat_ws(",", four_digits(F.max(F.when(ours, c("coverage_lo")))), four_digits(F.max(F.when(ours, c("coverage_hi")))))),
+        Claim("intervals_complete", "intervals", every(c("interval_completeness") == 1.0), share(c("interval_completeness") == 1.0)),
+        Claim("survival_noninferiority", "losses", loss[proposed] <= loss[reference], F.concat_ws(",", four_digits(loss[proposed]), four_digits(loss[reference]))),
+        Claim("parameters_in_all_folds", "parameters", F.countDistinct("fold") == n_folds, F.countDistinct("fold")),
+        Claim("parameters_finite", "parameters", every(finite), share(finite)),
+        Claim("slope_positive", "parameters", every(c(slope) > 0), four_digits(F.min(slope))),
+        Claim("parameters_interior", "parameters", every(~c("any_boundary_hit")), share(c("any_boundary_hit"))),
+        Claim("all_candidates_scored", "selection", F.countDistinct("fold", "candidate") == n_folds * n_candidates, F.countDistinct("fold", "candidate")),
+        Claim("budget_never_relaxed", "selection", F.count(F.when(chosen, 1)) == n_folds, F.count(F.when(chosen, 1))),
+        Claim("every_training_set_has_censored_rows", "folds", F.countDistinct(F.when(~c("is_event"), c("fold"))) > 1, F.countDistinct(F.when(~c("is_event"), c("fold")))),
+    ]

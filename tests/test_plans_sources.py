@@ -86,6 +86,37 @@ def test_gate_needs_every_required_rule(spark):
     assert CL.gate(rules).where("gate = 'all_required'").first()["passed"] is False
 
 
+def test_claims_read_each_table_once(spark):
+    n = F.count(F.lit(1))
+    tables = {"t": spark.range(3), "empty": spark.range(0)}
+    claims = [CL.Claim("few", "t", n == 3, n), CL.Claim("big", "t", F.max("id") > 5, F.max("id")), CL.Claim("none", "empty", F.bool_and(F.col("id") > 0), F.max("id"))]
+    verdicts = CL.judged(tables, claims)
+    assert [tuple(r) for r in verdicts.orderBy("gate").collect()] == [("big", False, "2", "t"), ("few", True, "3", "t"), ("none", False, "none", "empty")]
+    assert verdicts._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 3") == 1
+    assert CL.overall(verdicts, ["few"]).where("gate = 'overall_claim'").first()["passed"] is True
+    # A required rule that nobody judged fails the whole.
+    assert CL.overall(verdicts, ["few", "other"]).where("gate = 'overall_claim'").first()["evidence"] == "1/2"
+    with pytest.raises(ValueError, match="not given"):
+        CL.judged({}, claims)
+
+
+def test_study_claims_fail_where_one_comparator_is_not_beaten(spark):
+    effects = spark.createDataFrame([("a", "rmse", 0.2, 0.1), ("b", "rmse", 0.2, -0.1), ("a", "mae", 0.1, 0.05), ("b", "mae", 0.1, 0.05)], "model string, effect string, estimate double, lo double")
+    tables = {
+        "effects": effects, "holdouts": spark.createDataFrame([("S", "a", 0.1, 0.0), ("S", "b", 0.1, 0.2)], "scenario string, model string, estimate double, lo double"),
+        "coverage": spark.createDataFrame([("p", 0.85, 0.95), ("a", 0.1, 0.2)], "model string, coverage_lo double, coverage_hi double"),
+        "intervals": spark.createDataFrame([("p", 1.0), ("a", 0.5)], "model string, interval_completeness double"),
+        "losses": spark.createDataFrame([("p", 0.4), ("a", 0.3)], "model string, censored_nll double"),
+        "parameters": spark.createDataFrame([(1, 1.0, False), (2, float("nan"), False)], "fold int, slope double, any_boundary_hit boolean"),
+        "selection": spark.createDataFrame([(1, 0, True, True), (1, 1, False, False), (2, 0, False, True), (2, 1, True, False)], "fold int, candidate int, within boolean, selected boolean"),
+        "folds": spark.createDataFrame([(1, True), (1, False), (2, True)], "fold int, is_event boolean"),
+    }
+    got = {r["gate"]: r["passed"] for r in CL.judged(tables, CL.study_claims("p", "a", ["a", "b"], ["S"], 2, 2, 0.9)).collect()}
+    passed = {"beats_a_point", "beats_a_interval", "beats_b_point", "holdout_scenarios_complete", "holdout_point_superiority", "interval_coverage_nominal", "parameters_in_all_folds",
+              "slope_positive", "parameters_interior", "all_candidates_scored"}
+    assert {g for g, p in got.items() if p} == passed and len(got) == 19
+
+
 def test_leak_guard_stops_scoring(spark):
     rows = spark.createDataFrame([("s1", "g1", 1.0)], "specimen_id string, group_id string, y double")
     groups = spark.createDataFrame([("g1",)], "group_id string")
