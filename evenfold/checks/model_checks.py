@@ -31,6 +31,7 @@ from evenfold.plans.variants import VARIANTS
 from evenfold.session import settle, shared_folder
 from evenfold.sources import tables as IO
 from evenfold.streaming import jobs as J
+from evenfold.streaming import pending as PD
 
 c = F.col
 
@@ -394,3 +395,15 @@ def _stream3(spark, sf):
     sent = _run(spark, _event_stream(spark, sf).select("event_id", "ts"), "sent")
     windows = J.window_summary(J.with_pending(joined, sent, "event_id", "ts"), "ts", "1 day")
     return windows.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "n_predicted", "n_observed", "joint_nll", "coverage90")
+
+
+@query("stream_pending", f"""WITH e AS (SELECT ts, value > 0 AS seen, trunc(value)::BIGINT AS late_by, epoch_ms(ts) AS ms FROM events), m AS (SELECT max(greatest(ms, CASE WHEN seen THEN ms + 60000 * late_by ELSE ms END)) - 3600000 AS mark FROM e),
+  s AS (SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, CASE WHEN seen AND late_by <= {HORIZON} THEN 'observed' WHEN seen THEN 'late' WHEN ms + {HORIZON * 60000} < mark THEN 'expired' ELSE 'pending' END AS st FROM e, m)
+  SELECT day, {', '.join(f"count(*) FILTER (WHERE st = '{x}') AS n_{x}" for x in PD.STATUSES)} FROM s GROUP BY day""", "day " + " ".join(f"n_{x}" for x in PD.STATUSES))
+def _stream4(spark, sf):
+    """What became of every prediction by day, counted inside the stream."""
+    base = _event_stream(spark, sf)
+    outcomes = base.where("value > 0").select("event_id", (c("ts") + F.make_dt_interval(F.lit(0), F.lit(0), c("value").cast("int"))).alias("seen_at"))
+    changes = _run(spark, PD.follow(base.select("event_id", "ts"), outcomes, "event_id", "ts", "seen_at", HORIZON * 60000, "1 HOUR"), "pending")
+    counts = PD.window_counts(changes, "1 day")
+    return counts.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), *[f"n_{x}" for x in PD.STATUSES])
