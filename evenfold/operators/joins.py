@@ -53,23 +53,24 @@ def nearest_distance(queries: DataFrame, train: DataFrame, scope: list[str], val
     """Distance from every query value to the nearest training value of its scope.
 
     Works on distinct values: inside an order-preserving bucket the neighbours come from a
-    window, beyond it from the bucket extremes, so no scope is put into one task. Null where
-    the scope has no training value.
+    window, beyond it from the bucket extremes, so no scope is put into one task. Both
+    neighbours are running values, the upper one in falling order: a frame that ends at the
+    end of its partition would be read again for every row. Null where the scope has no
+    training value.
     """
     q = queries.select(*scope, F.col(value).cast("double").alias("_v")).distinct().withColumn("_t", F.lit(None).cast("double"))
     t = train.select(*scope, F.col(value).cast("double").alias("_v")).distinct().withColumn("_t", F.col("_v"))
     points = q.unionByName(t).withColumn("_b", value_bucket(F.col("_v"), 10))
     ends = points.groupBy(*scope, "_b").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
-    order = Window.partitionBy(*scope).orderBy("_b")
-    ends = ends.select(
-        *scope, "_b",
-        F.max("_hi").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_below"),
-        F.min("_lo").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_above"))
-    local = Window.partitionBy(*scope, "_b").orderBy("_v")
+    before = Window.partitionBy(*scope).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*scope).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*scope, "_b", F.max("_hi").over(before).alias("_below"), F.min("_lo").over(after).alias("_above"))
+    rising = Window.partitionBy(*scope, "_b").orderBy("_v").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    falling = Window.partitionBy(*scope, "_b").orderBy(F.col("_v").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     near = (
         points.join(ends, [*scope, "_b"])
-        .withColumn("_prev", F.coalesce(F.max("_t").over(local.rangeBetween(Window.unboundedPreceding, Window.currentRow)), "_below"))
-        .withColumn("_next", F.coalesce(F.min("_t").over(local.rangeBetween(Window.currentRow, Window.unboundedFollowing)), "_above"))
+        .withColumn("_prev", F.coalesce(F.max("_t").over(rising), "_below"))
+        .withColumn("_next", F.coalesce(F.min("_t").over(falling), "_above"))
         .where(F.col("_t").isNull())
         .select(*scope, "_v", F.least(F.col("_v") - F.col("_prev"), F.col("_next") - F.col("_v")).alias(out)))
     keyed = queries.withColumn("_v", F.col(value).cast("double"))

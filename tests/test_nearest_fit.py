@@ -163,3 +163,17 @@ def test_task_without_rows_has_null_parameters(spark):
 def test_unknown_classes_are_not_dry(spark):
     df = planted(spark).withColumns({"wet": F.monotonically_increasing_id() % 2 == 0, "exposure": F.lit(1.0), "env_class": F.lit("unknown")})
     assert TR.class_policy(df, [99])[99]["status"] == "no_dry_training_rows"
+
+
+def test_nearest_value_reads_no_frame_again(spark, monkeypatch):
+    """Thousands of values in one bucket: right, and by running frames only."""
+    rng = np.random.default_rng(4)
+    q, t = 5 + 1e-4 * rng.random(3000), np.sort(5 + 1e-4 * rng.random(2000))
+    plans = []
+    settled = J.settle
+    monkeypatch.setattr(J, "settle", lambda df, label="t": (plans.append(df._jdf.queryExecution().toString().lower()), settled(df, label))[1])
+    as_df = lambda v: spark.createDataFrame([("s", float(x)) for x in v], "k string, v double")
+    got = J.nearest_distance(as_df(q), as_df(t), ["k"], "v").collect()
+    at = np.searchsorted(t, q).clip(1, len(t) - 1)
+    assert sorted(r["distance"] for r in got) == pytest.approx(sorted(np.minimum(abs(q - t[at - 1]), abs(q - t[at]))), abs=1e-15)
+    assert plans and not any("unboundedfollowing" in p for p in plans)
