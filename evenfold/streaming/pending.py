@@ -1,7 +1,8 @@
 """Pending, observed, late and expired predictions, followed inside one stream.
 
-A state per key holds the prediction that waits for its outcome, and a timer at the end
-of its horizon. What happens to a prediction comes out as changes of counts: +1 pending
+Keys are dealt by hash to ``BUCKETS`` states. A state holds the predictions of its keys that
+wait for their outcomes, and a timer at the first end of a horizon; all keys of a bucket
+are followed in one step of a few sorts. What happens to a prediction comes out as changes of counts: +1 pending
 when it arrives, then -1 pending and +1 of ``observed`` (outcome within the horizon),
 ``late`` (outcome after it) or ``expired`` (the watermark passed the horizon). The sums of
 the changes are the counts at any time, and an exactly-once sink keeps them right over
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,61 +26,79 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STATUSES = ("pending", "observed", "late", "expired", "unmatched")
 
-
-def moved(at: int, to: str, known: bool) -> list[tuple[int, str, int]]:
-    """A prediction made at ``at`` gets a final status; ``known`` if it was counted as pending before."""
-    return [(at, "pending", -1), (at, to, 1)] if known else [(at, to, 1)]
+#: A checkpoint keeps its states by bucket, so this number stays.
+BUCKETS = 1_024
+
+
+def moved(at: pd.Series, to, known: pd.Series) -> list[pd.DataFrame]:
+    """Predictions of index ``k`` made at ``at`` get a final status; those ``known`` were counted as pending before."""
+    over = pd.DataFrame({"ms": at, "status": to, "change": 1}, index=at.index)
+    return [pd.DataFrame({"ms": at[known], "status": "pending", "change": -1}, index=at[known].index), over]
+
+
+def arrived(waiting: pd.DataFrame, new: pd.DataFrame, horizon_ms: int, now: int) -> tuple[pd.DataFrame, list[pd.DataFrame]]:
+    """What waits afterwards, and the changes, of keys with new rows; ``waiting`` has at most one row a key."""
+    rows = pd.concat([waiting.assign(old=True), new.assign(old=False)], ignore_index=True)
+    predicted = rows[~rows["seen"]]
+    # The prediction that waits stays; of several new ones the earliest counts.
+    predicted = predicted.assign(new=~predicted["old"]).sort_values(["new", "ms"], kind="stable").drop_duplicates("k").set_index("k")
+    observed = rows[rows["seen"]].drop_duplicates(["k", "ms"]).sort_values("ms", kind="stable")
+    at = observed["k"].map(predicted["ms"])
+    alone = observed[at.isna()].drop_duplicates("k")
+    early = observed[observed["ms"] < at]
+    first = observed[observed["ms"] >= at].drop_duplicates("k").set_index("k")["ms"]
+    changes = [pd.DataFrame({"ms": f["ms"].to_numpy(), "status": "unmatched", "change": 1}, index=f["k"]) for f in (early, alone[alone["ms"] <= now])]
+    ended = predicted.index.isin(first.index)
+    done, open_ = predicted[ended], predicted[~ended]
+    status = np.where(first.reindex(done.index).to_numpy() <= done["ms"].to_numpy() + horizon_ms, "observed", "late")
+    changes += moved(done["ms"], status, done["old"])
+    over = open_["ms"] + horizon_ms <= now
+    changes += moved(open_["ms"][over], "expired", open_["old"][over])
+    stays = open_[~over]
+    begun = stays[~stays["old"]]
+    changes.append(pd.DataFrame({"ms": begun["ms"], "status": "pending", "change": 1}, index=begun.index))
+    return pd.concat([stays.reset_index()[["k", "ms", "seen"]], alone.loc[alone["ms"] > now, ["k", "ms", "seen"]]], ignore_index=True), changes
+
+
+def ends_of(waiting: pd.DataFrame, horizon_ms: int) -> pd.Series:
+    """Until when each key waits: a prediction to the end of its horizon, an outcome for the watermark."""
+    return waiting["ms"].where(waiting["seen"], waiting["ms"] + horizon_ms)
 
 
 def follow(predictions: DataFrame, outcomes: DataFrame, key: str, predicted_at: str, observed_at: str, horizon_ms: int, delay: str) -> DataFrame:
     """A stream of changes (key, at, status, change); ``at`` is the time of the prediction, or of an unmatched outcome."""
     sides = [df.select(F.col(key).alias("k"), F.col(t).alias("at"), F.lit(seen).alias("seen")) for df, t, seen in ((predictions, predicted_at, False), (outcomes, observed_at, True))]
     rows = sides[0].unionByName(sides[1]).where(F.col("k").isNotNull() & F.col("at").isNotNull()).withWatermark("at", delay).withColumn("ms", F.unix_millis("at"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(BUCKETS)))
     kind = rows.schema["k"].dataType.simpleString()
 
     def step(group: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting = state.get if state.exists else None
-        if state.hasTimedOut:
-            changes = [(waiting[0], "unmatched", 1)] if waiting[1] else moved(waiting[0], "expired", True)
+        held = state.get if state.exists else ([], [], [])
+        waiting = pd.DataFrame({"k": pd.Series(held[0], dtype=None if len(held[0]) else object), "ms": pd.Series(held[1], dtype="int64"), "seen": pd.Series(held[2], dtype=bool)})
+        now = state.getCurrentWatermarkMs()
+        new = [] if state.hasTimedOut else [f[["k", "ms", "seen"]] for f in frames]
+        new = pd.concat(new, ignore_index=True) if new else waiting[:0]
+        met = waiting["k"].isin(new["k"])
+        rest = waiting[~met]
+        # Keys without new rows end once the watermark has passed the end of their wait.
+        late = ends_of(rest, horizon_ms) < now
+        gone = rest[late].set_index("k")
+        changes = moved(gone["ms"][~gone["seen"]], "expired", pd.Series(True, index=gone.index[~gone["seen"]]))
+        changes.append(pd.DataFrame({"ms": gone["ms"][gone["seen"]], "status": "unmatched", "change": 1}, index=gone.index[gone["seen"]]))
+        waiting, rest = rest[~late], waiting[met]
+        if len(new):
+            stays, more = arrived(rest, new, horizon_ms, now)
+            waiting, changes = pd.concat([f for f in (waiting, stays) if len(f)] or [stays], ignore_index=True), changes + more
+        if len(waiting):
+            state.update((waiting["k"].tolist(), waiting["ms"].tolist(), waiting["seen"].tolist()))
+            state.setTimeoutTimestamp(max(int(ends_of(waiting, horizon_ms).min()), now + 1))
+        elif state.exists:
             state.remove()
-        else:
-            changes = arrived(frames, waiting, state)
+        changes = [c for c in changes if len(c)]
         if changes:
-            at, status, change = zip(*changes)
-            yield pd.DataFrame({"k": [group[0]] * len(at), "ms": at, "status": status, "change": change})
-
-    def arrived(frames: Iterable[pd.DataFrame], waiting: tuple | None, state: GroupState) -> list[tuple[int, str, int]]:
-        predicted = {waiting[0]} if waiting and not waiting[1] else set()
-        observed = {waiting[0]} if waiting and waiting[1] else set()
-        known = bool(predicted)
-        for f in frames:
-            predicted |= set(f["ms"][~f["seen"]].tolist())
-            observed |= set(f["ms"][f["seen"]].tolist())
-        now = state.getCurrentWatermarkMs()
-        # The prediction that waits stays; of several new ones the earliest counts.
-        at = waiting[0] if known else min(predicted, default=None)
-        if at is None:
-            first = min(observed)
-            return wait(state, first, True, first, now, [(first, "unmatched", 1)], [])
-        after = [o for o in observed if o >= at]
-        unmatched = [(o, "unmatched", 1) for o in sorted(observed) if o < at]
-        if after:
-            if state.exists:
-                state.remove()
-            return unmatched + moved(at, "observed" if min(after) <= at + horizon_ms else "late", known)
-        return unmatched + wait(state, at, False, at + horizon_ms, now, moved(at, "expired", known), [] if known else [(at, "pending", 1)])
-
-    def wait(state: GroupState, ms: int, seen: bool, until: int, now: int, over: list, begun: list) -> list[tuple[int, str, int]]:
-        """Keep waiting with a timer, or end at once if the watermark has passed ``until``."""
-        if until <= now:
-            if state.exists:
-                state.remove()
-            return over
-        state.update((ms, seen))
-        state.setTimeoutTimestamp(until)
-        return begun
-
-    changes = rows.groupBy("k").applyInPandasWithState(step, f"k {kind}, ms bigint, status string, change int", "ms bigint, seen boolean", "append", GroupStateTimeout.EventTimeTimeout)
+            yield pd.concat(changes).rename_axis("k").reset_index()[["k", "ms", "status", "change"]]
+
+    changes = rows.groupBy("bucket").applyInPandasWithState(step, f"k {kind}, ms bigint, status string, change int", f"k array<{kind}>, ms array<bigint>, seen array<boolean>", "append", GroupStateTimeout.EventTimeTimeout)
     return changes.select(F.col("k").alias(key), F.timestamp_millis("ms").alias("at"), "status", "change")
 
 

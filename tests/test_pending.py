@@ -49,3 +49,13 @@ def test_counts_over_restarts(spark, tmp_path):
     assert {("c", "expired"), ("e", "expired"), ("f", "unmatched"), ("g", "late")} <= keys
     windows = {r["window_start"]: r["n_observed"] for r in PD.window_counts(fourth, "1 hour").collect()}
     assert sum(windows.values()) == 3 and windows[minute(0)] == 2
+
+
+def test_keys_of_a_bucket_are_followed_together(spark, tmp_path, monkeypatch):
+    """As many keys as buckets of a few: no bucket mixes them up, and one step serves many keys."""
+    monkeypatch.setattr(PD, "BUCKETS", 3)
+    feed = Feed(spark, tmp_path)
+    feed.run([(f"k{i}", minute(i % 5), False) for i in range(400)])
+    out = feed.run([(f"k{i}", minute(30 if i % 2 else 90), True) for i in range(200)] + [("z", minute(0), False)])
+    assert feed.counts(out) == {"observed": 100, "late": 100, "expired": 201}
+    assert out.where("status = 'observed'").count() == out.where("status = 'observed'").select("id").distinct().count()
