@@ -147,6 +147,26 @@ def test_pairs_teach_the_order():
     assert abs(np.mean(np.concatenate([model.scores(good)] * 1 + [model.scores(bad)]) < 0) - 0.4) < 0.05
 
 
+def test_every_labelled_document_teaches(spark, monkeypatch):
+    """Blocks hold all documents, the rarer class in each of them; the cut is the quantile of all scores."""
+    monkeypatch.setattr(pairwise_quality, "BLOCK", 20)
+    monkeypatch.setattr(pairwise_quality, "RARER", 3)
+    rng = np.random.default_rng(6)
+    rows = [(i, int(i % 12 != 0), ("Some words of text. " if i % 12 else "%% 123 || ") * int(rng.integers(1, 9)) + "ab" * int(rng.integers(0, 5))) for i in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, q, _ in rows], "doc_id long, quality int")
+    blocks, made = [], pairwise_quality.paired_blocks
+    monkeypatch.setattr(pairwise_quality, "paired_blocks", lambda *a: (blocks.append(made(*a)), blocks[-1])[1])
+    model = pairwise_quality.fit(docs, labels, F.lit(True))
+    held = [(len(r.good), len(r.bad)) for r in blocks[0].collect()]
+    assert sum(g for g, _ in held) == 275 and sum(b for _, b in held) >= 25 and np.mean([b > 0 for _, b in held]) > 0.8
+    x = np.array([pairwise_quality.text_features(t) for _, _, t in rows], dtype=float)
+    scores, good = model.scores(x), np.array([q for _, q, _ in rows]) == 1
+    assert scores[good].min() > 0 > scores[~good].max()
+    plain = pairwise_quality.weighted_quantile(scores, np.full(300, 1 / 300), 25 / 300)
+    assert abs(plain) < 1e-9
+
+
 def test_pipeline_stages(spark, small):
     docs, kept = small, {}
     for name, stage in corpus_pipeline.STAGES:
