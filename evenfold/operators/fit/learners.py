@@ -1,4 +1,4 @@
-"""Tree ensembles, a kernel machine by random features, and hybrids, on Spark ML."""
+"""Tree ensembles, a kernel machine by random features, and hybrids."""
 
 from __future__ import annotations
 
@@ -7,18 +7,18 @@ import math
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenfold.functions import damage as D
+from evenfold.operators.fit.bagged import Forest, fold_forests
 from evenfold.roles import DEFAULT, Roles
 
 
-def forest(trees: int, leaf: int = 3, features: float = 0.85, seed: int = 0, depth: int = 30) -> RandomForestRegressor:
-    """Stands for both bagged and randomised-threshold trees; thresholds are not drawn at random. Depth 30 is the most Spark ML allows."""
-    return RandomForestRegressor(numTrees=trees, minInstancesPerNode=leaf, featureSubsetStrategy=str(features), seed=seed,
-                                 maxDepth=depth, featuresCol="_x", labelCol="_y", predictionCol="_p")
+def forest(trees: int, leaf: int = 3, features: float = 0.85, seed: int = 0, depth: int = 30) -> Forest:
+    """Stands for both bagged and randomised-threshold trees; thresholds are not drawn at random but chosen among 32 bins."""
+    return Forest(trees, leaf, features, seed, depth)
 
 
 def boosting(rounds: int = 20, depth: int = 2, leaf: int = 4, rate: float = 0.1, seed: int = 0) -> GBTRegressor:
@@ -57,7 +57,10 @@ def fold_predictions(rows: DataFrame, inputs: list[str], estimator, target: str,
 
     ``estimator`` is an estimator, or a function of the fold's number of training rows. With
     ``centred`` it learns the target less its mean over the training rows, which is added again.
+    Forests are grown from sums of cells, all folds together.
     """
+    if isinstance(estimator, Forest):
+        return fold_forests(rows, inputs, estimator, target, folds, fold, event, DEFAULT.row, out)
     data = rows.withColumn("_x", features) if features is not None else VectorAssembler(inputCols=inputs, outputCol="_x").transform(rows)
     parts = []
     per_fold = rows.where(F.col(event)).groupBy(fold).agg(F.count(target).alias("n"), F.sum(target).alias("s")).collect()
