@@ -212,7 +212,7 @@ def _boost(spark, sf):
 @query("kernel_predictions")
 def _kernel(spark, sf):
     names = DESIGN.names()
-    out = LN.fold_predictions(_designed(spark, sf), names, lambda n: LN.kernel_ridge(1.0, n), "y", HOLDS, features=LN.random_features(names, 2.0, 64, 11), centred=True)
+    out = LN.fold_predictions(_designed(spark, sf), names, LN.kernel_ridge(1.0), "y", HOLDS, features=LN.random_features(names, 2.0, 64, 11), centred=True)
     return out.select("row_id", "fold", "y", "pred")
 
 
@@ -228,7 +228,7 @@ def _hybrid(spark, sf):
     train = rows.where("is_event").select(c("fold").alias("_own"), "temp_c").distinct().select(outside.alias("fold"), "temp_c")
     rows = nearest_distance(rows, train, ["fold"], "temp_c", "gap")
     inputs = [n for n in DESIGN.names() if not n.startswith("env_class")]
-    out = LN.hybrid(rows, "base", inputs, lambda n: LN.kernel_ridge(1.0, n), HOLDS, 0.75, support_weight(c("gap")), features=LN.random_features(inputs, 2.0, 32, 5))
+    out = LN.hybrid(rows, "base", inputs, LN.kernel_ridge(1.0), HOLDS, 0.75, support_weight(c("gap")), features=LN.random_features(inputs, 2.0, 32, 5))
     return out.select("row_id", "fold", "y", "base", "pred")
 
 
