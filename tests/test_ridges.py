@@ -45,3 +45,11 @@ def test_a_fold_without_training_rows_has_nulls(spark):
     df = spark.createDataFrame([(1, 1, True, 1.0, 0.0, 2.0), (2, 2, False, 1.0, 0.0, 5.0), (3, 3, False, 1.0, 0.0, 5.0)], SCHEMA)
     got = {r["row_id"]: r["pred"] for r in LN.fold_predictions(df, ["a", "b"], LN.kernel_ridge(1.0), "y", [1, 2], centred=True).collect()}
     assert got == {1: None, 2: pytest.approx(2.0)}
+
+
+def test_a_hybrid_reads_its_rows_twice(spark):
+    df = spark.createDataFrame(rows_of(), SCHEMA).withColumn("base", F.lit(4.0))
+    seen = spark.sparkContext.accumulator(0)
+    tap = df.mapInArrow(lambda batches: (seen.add(b.num_rows) or b for b in batches), df.schema)
+    out = LN.hybrid(tap, "base", ["a", "b"], LN.kernel_ridge(1.0), [1, 2, 3], 0.75, F.lit(1.0), features=LN.random_features(["a", "b"], 2.0, 8, 3))
+    assert out.agg(F.sum("pred")).first()[0] is not None and seen.value == 2 * 300
