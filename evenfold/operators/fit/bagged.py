@@ -8,7 +8,7 @@ of its held-out rows their values; what it holds is bounded by the product of th
 by the rows where inputs are many. No model passes through the driver.
 
 The draws of a row (Poisson with mean 1, a number for every tree) follow from its key, so
-that a forest depends on the seed and the rows and not on how they are partitioned. Splits
+that they do not depend on how the rows are partitioned (approximate cuts may, slightly). Splits
 take the largest gain in squared error over the tried inputs, the first input and cut on
 ties, and leave ``leaf`` drawn rows on both sides. Cuts are those of the training rows: all
 values of an input that has no more than ``bins`` of them, or else approximate quantiles.
