@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evenfold.functions import families
 from evenfold.operators import metrics as M
-from evenfold.operators.folds import long_factors
 from evenfold.operators.quantiles import weighted_quantiles
 from evenfold.operators.ranks import label_ranks
 from evenfold.operators.weights import attach_stats
@@ -79,11 +80,20 @@ def loss_decomposition(summary: DataFrame, scope: list[str], proposed: str, role
     return out.withColumn("adds_up", gap <= 1e-12)
 
 
-def subgroup_scores(df: DataFrame, factors: list[str], scope: list[str], roles: Roles = DEFAULT, **card) -> DataFrame:
-    """Score card per level of each factor, long form, weights made anew in every level."""
-    plain = df.withColumnRenamed("scenario", "_scenario")
-    long = long_factors(plain, {f: f for f in factors}, plain.columns).drop("scenario").withColumnRenamed("_scenario", "scenario")
-    return M.score_card(long, ["factor", "level", *scope], roles, **card)
+def subgroup_scores(df: DataFrame, factors: list[str], scope: list[str], roles: Roles = DEFAULT, loss: str | None = "row_nll",
+                    intervals: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """Score card per level of each factor, long form, weights made anew in every level.
+
+    The rows are settled, so that their losses are worked out once, and summed a factor after the
+    other: a task holds the sums of one factor's levels and not those of all.
+    """
+    ends = [end for pair in (intervals or {}).values() for end in pair]
+    used = dict.fromkeys([*factors, *scope, roles.group, roles.equiv, roles.event, roles.y, roles.pred, *([loss] if loss else []), *ends])
+    rows = settle(df.select(*used), "subgroups")
+    cards = [
+        M.score_card(rows.withColumns({"factor": F.lit(f), "level": F.col(f).cast("string")}), ["factor", "level", *scope], roles, loss, intervals)
+        for f in factors]
+    return reduce(DataFrame.unionByName, cards)
 
 
 def attribution(new: DataFrame, old: DataFrame, keys: list[str], roles: Roles = DEFAULT) -> DataFrame:

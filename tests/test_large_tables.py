@@ -14,3 +14,13 @@ def test_rows_of_a_key_lie_together(spark):
     out = together(df, ["k"])
     assert out.select("k", F.input_file_name().alias("f")).distinct().groupBy("k").count().where("count > 1").count() == 0
     assert out.agg(F.sum("v")).first()[0] == 4000 * 3999 // 2
+
+
+def test_factors_are_summed_one_after_the_other(spark):
+    from evenfold.operators import scores as SC
+
+    rows = [(f"r{i}", f"g{i % 3}", f"e{i % 7}", float(i), i + 0.5, i % 4 > 0, 0.1 * i, "ab"[i % 2], "xyz"[i % 3], "m") for i in range(40)]
+    df = spark.createDataFrame(rows, "row_id string, group_id string, equiv_id string, y double, pred double, is_event boolean, row_nll double, f string, g string, model string")
+    out = SC.subgroup_scores(df, ["f", "g"], ["model"])
+    assert "Generate" not in plan_of(out)
+    assert {(r["factor"], r["level"]): r["n_rows"] for r in out.collect()} == {("f", "a"): 20, ("f", "b"): 20, ("g", "x"): 14, ("g", "y"): 13, ("g", "z"): 13}
