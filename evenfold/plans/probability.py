@@ -14,22 +14,27 @@ from evenfold.session import settle
 OVERALL, LEVEL = "overall", "factor_level"
 
 
-def with_scopes(df: DataFrame, roles: Roles = DEFAULT) -> DataFrame:
-    """Every row in its overall scope and, where it has a holdout, in that factor level too."""
+def by_scope(df: DataFrame, summary, roles: Roles = DEFAULT) -> DataFrame:
+    """``summary(rows, keys)`` of all rows in their overall scope and, where they have a holdout, in that factor level too.
+
+    A scope after the other: a task holds the sums of one and not those of both.
+    """
     has_level = F.trim(F.coalesce(F.col(roles.holdout), F.lit(""))) != ""
-    scopes = F.array_compact(F.array(
-        F.struct(F.lit(OVERALL).alias("level"), F.lit("").alias("holdout")),
-        F.when(has_level, F.struct(F.lit(LEVEL).alias("level"), F.col(roles.holdout).alias("holdout")))))
-    return df.withColumn("_s", F.explode(scopes)).drop(roles.holdout).select("*", "_s.*").drop("_s")
+    whole = df.withColumns({"level": F.lit(OVERALL), roles.holdout: F.lit("")})
+    levels = df.where(has_level).withColumn("level", F.lit(LEVEL))
+    if roles.holdout != "holdout":
+        whole, levels = (d.withColumnRenamed(roles.holdout, "holdout") for d in (whole, levels))
+    keys = ["level", roles.scenario, "holdout", roles.model]
+    return summary(whole, keys).unionByName(summary(levels, keys))
 
 
 def scoped_summaries(df: DataFrame, roles: Roles = DEFAULT, loss: str = "row_nll") -> DataFrame:
     """Probability summaries overall and per factor level; weights are those of each scope."""
-    return M.probability_summary(with_scopes(df, roles), ["level", roles.scenario, "holdout", roles.model], roles, loss)
+    return by_scope(df, lambda rows, keys: M.probability_summary(rows, keys, roles, loss), roles)
 
 
 def scoped_intervals(df: DataFrame, levels: tuple[float, ...] = (0.8, 0.9), roles: Roles = DEFAULT) -> DataFrame:
-    return M.interval_summary(with_scopes(df, roles), ["level", roles.scenario, "holdout", roles.model], levels, roles)
+    return by_scope(df, lambda rows, keys: M.interval_summary(rows, keys, levels, roles), roles)
 
 
 def paired_loss_gains(df: DataFrame, proposed: str, reps: int, seed: int, roles: Roles = DEFAULT,

@@ -24,3 +24,13 @@ def test_factors_are_summed_one_after_the_other(spark):
     out = SC.subgroup_scores(df, ["f", "g"], ["model"])
     assert "Generate" not in plan_of(out)
     assert {(r["factor"], r["level"]): r["n_rows"] for r in out.collect()} == {("f", "a"): 20, ("f", "b"): 20, ("g", "x"): 14, ("g", "y"): 13, ("g", "z"): 13}
+
+
+def test_scopes_are_summed_one_after_the_other(spark):
+    from evenfold.plans.probability import scoped_summaries
+
+    rows = [(f"r{i}", f"g{i % 3}", f"e{i % 7}", float(i), i + 0.5, i % 4 > 0, 0.1 * i, "s", [None, " ", "h"][i % 3], "m") for i in range(30)]
+    df = spark.createDataFrame(rows, "row_id string, group_id string, equiv_id string, y double, pred double, is_event boolean, row_nll double, scenario string, holdout string, model string")
+    out = scoped_summaries(df)
+    assert "Generate" not in plan_of(out)
+    assert {(r["level"], r["holdout"], r["n_rows"]) for r in out.collect()} == {("overall", "", 30), ("factor_level", "h", 10)}
