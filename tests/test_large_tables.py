@@ -49,3 +49,10 @@ def test_environment_response_has_no_join(spark):
 
     plan = QUERIES["environment_response"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_candidate_scores_has_no_join(spark):
+    from evenfold.checks.catalog import QUERIES
+
+    plan = QUERIES["candidate_scores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
