@@ -56,3 +56,12 @@ def test_candidate_scores_has_no_join(spark):
 
     plan = QUERIES["candidate_scores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_roles_are_compared_without_sorting(spark):
+    from evenfold.operators import contracts as C
+
+    df = spark.createDataFrame([(1, "a", "test"), (1, "a", "train"), (1, "b", "train"), (2, "a", "test")], "task int, k string, role string")
+    out = C.role_overlap(df, ["k"])
+    assert "SortAggregate" not in plan_of(out)
+    assert [r["key"] for r in out.collect()] == ["1|a"]
