@@ -134,19 +134,19 @@ def support_rows(df: DataFrame, numeric: list[str], categories: list[str], joint
 
     z = {f"_z_{c}": F.col(c) / F.col(f"_sd_{c}") for c in numeric}
     out = out.withColumns(z)
-    nearest = _fold_nearest(out, train, numeric, list(z), roles)
-    out = out.join(nearest, [roles.fold, *z], "left")
-
     unseen = F.array_compact(F.array(*[F.when(~F.col(f"_seen_{c}"), F.lit(c)) for c in categories]))
     outside = F.array_compact(F.array(*[
         F.when((F.col(c) < F.col(f"_lo_{c}")) | (F.col(c) > F.col(f"_hi_{c}")), F.lit(c)) for c in numeric]))
     label = (
         F.when(F.size(unseen) > 0, "unseen_category").when(F.size(outside) > 0, "outside_numeric_range")
         .when(F.col("cell_rows") == 0, "unseen_joint_cell").otherwise("within_support"))
-    return out.select(
-        roles.row, roles.fold, "cell_rows", "cell_events", "cell_groups",
-        F.array_join(unseen, "|").alias("unseen_categories"), F.array_join(outside, "|").alias("outside_ranges"),
-        "nearest_distance", label.alias("support_class"))
+    # The join on points comes last and takes finished columns along. It is settled: of distinct points there may be few.
+    nearest = settle(_fold_nearest(df.join(train, roles.fold).withColumns(z), train, numeric, list(z), roles), "nearest")
+    out = out.select(
+        roles.row, roles.fold, *z, "cell_rows", "cell_events", "cell_groups",
+        F.array_join(unseen, "|").alias("unseen_categories"), F.array_join(outside, "|").alias("outside_ranges"), label.alias("support_class"))
+    return out.join(nearest, [roles.fold, *z], "left").select(
+        roles.row, roles.fold, "cell_rows", "cell_events", "cell_groups", "unseen_categories", "outside_ranges", "nearest_distance", "support_class")
 
 
 def _fold_nearest(rows: DataFrame, train: DataFrame, numeric: list[str], z: list[str], roles: Roles) -> DataFrame:

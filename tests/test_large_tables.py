@@ -65,3 +65,10 @@ def test_roles_are_compared_without_sorting(spark):
     out = C.role_overlap(df, ["k"])
     assert "SortAggregate" not in plan_of(out)
     assert [r["key"] for r in out.collect()] == ["1|a"]
+
+
+def test_nearest_distances_are_settled_before_rows_meet_them(spark):
+    from evenfold.checks.catalog import QUERIES
+
+    out = QUERIES["support_rows"](spark, "/root/testdata/sf0.001")
+    assert any("/nearest-" in f for f in out.inputFiles())
