@@ -72,3 +72,19 @@ def test_nearest_distances_are_settled_before_rows_meet_them(spark):
 
     out = QUERIES["support_rows"](spark, "/root/testdata/sf0.001")
     assert any("/nearest-" in f for f in out.inputFiles())
+
+
+def test_normal_scales_read_events_once(spark, monkeypatch):
+    import math
+    from dataclasses import replace
+
+    from evenfold.operators.fit import trunk as TR
+
+    df = spark.createDataFrame([("a", 0.1 * i, 0.05 * i * (-1) ** i, i % 3 > 0) for i in range(60)], "model string, y double, pred double, is_event boolean")
+    want = TR.calibrate_scales(df, ["model"], "normal").first()["scale"]
+    assert want > 0
+    # Rounds that went through the events again would meet NaN.
+    lost = replace(TR.FAMILIES["normal"], event=lambda z: F.lit(math.nan), event_d=lambda z: (F.lit(math.nan), F.lit(math.nan)))
+    monkeypatch.setitem(TR.FAMILIES, "normal", lost)
+    again = TR.calibrate_scales(df, ["model"], "normal").first()["scale"]
+    assert again is not None and abs(again - want) < 1e-9
