@@ -88,3 +88,10 @@ def test_normal_scales_read_events_once(spark, monkeypatch):
     monkeypatch.setitem(TR.FAMILIES, "normal", lost)
     again = TR.calibrate_scales(df, ["model"], "normal").first()["scale"]
     assert again is not None and abs(again - want) < 1e-9
+
+
+def test_split_inputs_are_settled_once(spark):
+    from evenfold.checks.catalog import QUERIES
+
+    files = QUERIES["repeated_splits"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert any("/splits-" in f for f in files) and not any("lineitem" in f for f in files)
