@@ -95,3 +95,13 @@ def test_split_inputs_are_settled_once(spark):
 
     files = QUERIES["repeated_splits"](spark, "/root/testdata/sf0.001").inputFiles()
     assert any("/splits-" in f for f in files) and not any("lineitem" in f for f in files)
+
+
+def test_boosting_packs_its_training_rows(spark):
+    from evenfold.operators.fit import boosting as B
+    from test_trees import learner, rows_of
+
+    df = learner(spark, rows_of(160))
+    blocks = B.blocks_of(df, B.input_cuts(df))
+    assert blocks.agg(F.sum("n")).first()[0] == df.where("w > 0").count()
+    assert blocks.count() <= df.rdd.getNumPartitions()
