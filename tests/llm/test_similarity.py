@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
@@ -197,3 +198,15 @@ def test_pipeline_edges(spark, edges, nothing):
 def test_remainder_is_that_of_crc32(spark):
     got = spark.range(50).select("id", queries.remainder_of_id(F.col("id"), 3).alias("r")).collect()
     assert all(r.r == zlib.crc32(str(r.id).encode()) % 3 for r in got)
+
+
+def test_pipeline_stages_send_small_batches(spark):
+    own = spark.newSession()
+    docs = own.range(0, 40, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 60_000).alias("text"))
+
+    def sizes(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([b.nbytes for b in batches])], names=["n"])
+
+    decontaminate.text_batches(docs)  # an operator alone, in the same session before
+    corpus_pipeline.decontamination(own, docs, SMALL)
+    assert max(r["n"] for r in docs.mapInArrow(sizes, "n bigint").collect()) < 3_000_000
