@@ -105,3 +105,13 @@ def test_boosting_packs_its_training_rows(spark):
     blocks = B.blocks_of(df, B.input_cuts(df))
     assert blocks.agg(F.sum("n")).first()[0] == df.where("w > 0").count()
     assert blocks.count() <= df.rdd.getNumPartitions()
+
+
+def test_clusters_are_dealt_to_parts_that_grow_with_the_rows(spark):
+    from evenfold.operators.audits import CLUSTER_PARTS, cluster_stats
+
+    raw = spark.range(0, 1000, 1, 4).select((F.col("id") % 700).cast("string").alias("equiv_id"), (F.col("id") % 3).alias("source_id"), (F.col("id") % 2 == 0).alias("is_censored"))
+    out = cluster_stats(raw)
+    assert out.rdd.getNumPartitions() >= 4 * CLUSTER_PARTS
+    assert out.agg(F.count(F.lit(1)), F.sum("cluster_size"), F.sum("cluster_sources")).first()[:] == (700, 1000, 1000)
+    assert out.where("cross_source").count() == 300
