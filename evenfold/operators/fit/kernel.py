@@ -6,6 +6,9 @@ that Z does not explain, and takes the largest ones in turn (a blocked pivoted
 Cholesky). With L L' = k(Z, Z) and features p(x) = inv(L) k(Z, x), the weights need only
 the sums of p p' and p y over the rows. Every partition adds up its own blocks, Spark
 adds the blocks by row of the matrix, and each task is solved where its matrix lies.
+Where many points of a task are equal they are added up before, with count and sums of
+targets; and a round leaves a point as soon as some of its landmarks explain more of it
+than counts for the choice, since further ones only explain more.
 
 Accuracy is stated with each model: ``gap_mean`` and ``gap_max`` are the unexplained
 part of k(x, x), and ``bound`` bounds the root mean square difference to the dense
@@ -40,6 +43,10 @@ from pyspark.sql.window import Window
 from evenfold.session import settle, spread
 
 LEAST_GAP = 1e-8
+#: Points whose kernels are evaluated at once, and landmarks after which points are left out of a round (doubled from there).
+CHUNK, FIRST_LANDMARKS = 512, 32
+#: Points are added up if at most this share of them is distinct.
+WORTH_ADDING = 0.7
 
 
 @dataclass(frozen=True)
@@ -53,9 +60,19 @@ class KernelTask:
 
 
 def matern(a: np.ndarray, b: np.ndarray, length: float) -> np.ndarray:
-    square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * a @ b.T
-    r = np.sqrt(np.maximum(square, 0.0)) * (math.sqrt(3.0) / length)
-    return (1.0 + r) * np.exp(-r)
+    out, twice, aa, bb = np.empty((len(a), len(b))), 2.0 * a, (a * a).sum(1), (b * b).sum(1)
+    for lo in range(0, len(a), CHUNK):
+        # In place, on pieces that stay in the cache.
+        r = out[lo:lo + CHUNK]
+        np.add(aa[lo:lo + CHUNK, None], bb[None, :], out=r)
+        r -= twice[lo:lo + CHUNK] @ b.T
+        np.maximum(r, 0.0, out=r)
+        np.sqrt(r, out=r)
+        r *= math.sqrt(3.0) / length
+        fade = np.exp(-r)
+        r += 1.0
+        r *= fade
+    return out
 
 
 class Landmarks:
@@ -68,9 +85,19 @@ class Landmarks:
     def features(self, x: np.ndarray) -> np.ndarray:
         return matern(x, self.points, self.length) @ self.back.T if len(self.points) else np.zeros((len(x), 0))
 
-    def gaps(self, x: np.ndarray) -> np.ndarray:
-        p = self.features(x)
-        return np.maximum(1.0 - (p * p).sum(1), 0.0)
+    def gaps(self, x: np.ndarray, least: float = -1.0) -> np.ndarray:
+        """The part of k(x, x) that is not explained; of points below ``least`` some number below it."""
+        gap, at, k, done, m = np.ones(len(x)), np.arange(len(x)), np.zeros((len(x), 0)), 0, len(self.points)
+        while done < m and len(at):
+            upto = min(m, max(FIRST_LANDMARKS, 2 * done))
+            k = np.hstack([k, matern(x[at], self.points[done:upto], self.length)])
+            p = k @ self.back[done:upto, :upto].T
+            gap[at] -= (p * p).sum(1)
+            done = upto
+            stay = gap[at] >= least
+            if not stay.all():
+                at, k = at[stay], k[stay]
+        return np.maximum(gap, 0.0)
 
     def extended(self, candidates: np.ndarray, room: int, tolerance: float) -> "Landmarks":
         """With up to ``room`` candidates more, each the one least explained by those before it."""
@@ -113,7 +140,10 @@ def candidates(points: DataFrame, marks: dict[int, Landmarks], block: int) -> Da
             x, h = matrix(batch.column("x")), batch.column("h").to_numpy()
             for t, at in by_task(batch):
                 own = best.setdefault(t, {})
-                gap = marks[t].gaps(x[at]) if t in marks else np.ones(len(at))
+                # Of the points so far the one that just counts; rounding is far smaller than what is left to it.
+                least = min(gap for gap, _ in own.values()) - 1e-8 if len(own) >= block else -1.0
+                gap = marks[t].gaps(x[at], least) if t in marks else np.ones(len(at))
+                at, gap = at[gap >= least], gap[gap >= least]
                 # Digits beyond the ninth depend on how rows fall into batches.
                 gap = np.round(gap, 9)
                 for j in np.lexsort((h[at], -gap))[:4 * block]:
@@ -151,17 +181,22 @@ def choose(points: DataFrame, tasks: list[KernelTask], count: int, block: int, t
 
 
 def block_sums(points: DataFrame, marks: dict[tuple[int, float], Landmarks]) -> DataFrame:
-    """(task, length, i, v): row i of the summed features' products, followed by their sums with the target and alone; i = -1 holds the totals."""
+    """(task, length, i, v): row i of the summed features' products, followed by their sums with the target and alone; i = -1 holds the totals.
+
+    ``points`` hold how many were added up, and the sums of their targets and of their squares.
+    """
     def added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, float], list[np.ndarray]] = {}
         for batch in batches:
-            x, y = matrix(batch.column("x")), batch.column("y").to_numpy()
+            x = matrix(batch.column("x"))
+            n, y, yy = (batch.column(c).to_numpy() for c in ("n", "y", "yy"))
             for t, at in by_task(batch):
                 for key in (k for k in marks if k[0] == t):
                     p = marks[key].features(x[at])
                     gap = np.maximum(1.0 - (p * p).sum(1), 0.0)
-                    rows = np.column_stack([p.T @ p, p.T @ y[at], p.sum(0)])
-                    total = np.array([len(at), y[at].sum(), (y[at] ** 2).sum(), gap.sum(), gap.max()])
+                    q = p if (n[at] == 1).all() else p * np.sqrt(n[at])[:, None]
+                    rows = np.column_stack([q.T @ q, p.T @ y[at], p.T @ n[at]])
+                    total = np.array([n[at].sum(), y[at].sum(), yy[at].sum(), gap @ n[at], gap.max()])
                     if key in sums:
                         sums[key][0] += rows
                         sums[key][1] = np.append(sums[key][1][:4] + total[:4], max(sums[key][1][4], total[4]))
@@ -181,7 +216,7 @@ def block_sums(points: DataFrame, marks: dict[tuple[int, float], Landmarks]) ->
         return pd.DataFrame({**{c: pdf[c].iloc[:1] for c in pdf.columns if c != "v"}, "v": [total.tolist()]}, index=pdf.index[:1])
 
     schema = "task int, length double, i int, v array<double>"
-    parts = points.select("task", "x", "y").mapInArrow(added, schema).withColumn("part", F.spark_partition_id())
+    parts = points.select("task", "x", "n", "y", "yy").mapInArrow(added, schema).withColumn("part", F.spark_partition_id())
     # Two turns: a group holds about the square root of the number of partitions.
     turns = max(1, math.isqrt(points.rdd.getNumPartitions()))
     first = parts.withColumn("part", F.col("part") % turns).groupBy("task", "length", "i", "part").applyInPandas(joined, "task int, length double, i int, part int, v array<double>")
@@ -214,10 +249,19 @@ def solved(sums: DataFrame, tasks: list[KernelTask], marks: dict[tuple[int, floa
     return sums.groupBy("task", "length").applyInPandas(solve, MODEL)
 
 
+def added_up(points: DataFrame) -> DataFrame:
+    """The points with equal ones of a task as one, if there are enough of them."""
+    seen = points.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64("task", "h")).alias("d")).first()
+    if seen["d"] > WORTH_ADDING * seen["n"]:
+        return points
+    return spread(points.groupBy("task", "x", "h").agg(*[F.sum(c).alias(c) for c in ("n", "y", "yy")]), "kernel_points")
+
+
 def fit(points: DataFrame, tasks: list[KernelTask], count: int = 256, block: int = 64, tolerance: float = 1e-6) -> DataFrame:
     """A stored table of models, one row per task and setting, from ``points`` (task, x, y); ``count`` bounds the landmarks of a task."""
     ready = points.where(usable(F.col("x")) & F.col("y").isNotNull() & ~F.isnan("y"))
-    ready = spread(ready.select(F.col("task").cast("int").alias("task"), F.col("x").cast("array<double>").alias("x"), F.col("y").cast("double").alias("y"), F.xxhash64("x").alias("h")), "kernel_points")
+    ready = ready.select(F.col("task").cast("int").alias("task"), F.col("x").cast("array<double>").alias("x"), F.col("y").cast("double").alias("y"), F.xxhash64("x").alias("h"))
+    ready = added_up(spread(ready.withColumns({"n": F.lit(1.0), "yy": F.col("y") * F.col("y")}), "kernel_points"))
     chosen = choose(ready, tasks, count, block, tolerance)
     marks = {(k.task, float(k.length)): Landmarks(chosen[k.task].points, float(k.length)) for k in tasks if k.task in chosen}
     return settle(solved(block_sums(ready, marks), tasks, marks), "kernel_models")
@@ -225,10 +269,11 @@ def fit(points: DataFrame, tasks: list[KernelTask], count: int = 256, block: int
 
 def predict(rows: DataFrame, models: DataFrame, out: str = "pred") -> DataFrame:
     """``rows`` (task, x, other columns) once per model of their task, with length, alpha and the prediction; rows of a task without model come once, with nulls."""
-    # Tasks x settings models of bounded size.
-    kept: dict[int, list] = {}
+    # Tasks x settings models of bounded size; those on the same landmarks share the kernel.
+    kept: dict[int, dict[tuple, list]] = {}
     for r in models.select("task", "length", "alpha", "mean", "weights", "landmarks").orderBy("task", "length", "alpha").collect():
-        kept.setdefault(r["task"], []).append((r["length"], r["alpha"], r["mean"], np.array(r["weights"]), np.array(r["landmarks"])))
+        points = np.array(r["landmarks"])
+        kept.setdefault(r["task"], {}).setdefault((r["length"], points.tobytes()), []).append((r["length"], r["alpha"], r["mean"], np.array(r["weights"]), points))
     names = [c for c in rows.columns if c != "x"]
     data = rows.withColumn("task", F.col("task").cast("int")).withColumn("x", F.when(usable(F.col("x")), F.col("x").cast("array<double>")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in data.drop("x").schema) + f", length double, alpha double, `{out}` double"
@@ -238,11 +283,14 @@ def predict(rows: DataFrame, models: DataFrame, out: str = "pred") -> DataFrame:
             for t, at in by_task(batch):
                 part = batch.take(pa.array(at))
                 known = part.column("x").is_valid().to_numpy(zero_copy_only=False)
-                for length, alpha, mean, weights, points in kept.get(t, [(None, None, None, None, None)]):
-                    value = np.full(len(at), np.nan)
-                    if points is not None and known.any():
-                        value[known] = mean + matern(matrix(part.column("x").filter(pa.array(known))), points, length) @ weights
-                    added = [pa.array([length] * len(at), pa.float64()), pa.array([alpha] * len(at), pa.float64()), pa.array(value, mask=np.isnan(value))]
-                    yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + added, names=[*names, "length", "alpha", out])
+                for alike in kept.get(t, {None: [(None, None, None, None, None)]}).values():
+                    length, points = alike[0][0], alike[0][4]
+                    near = matern(matrix(part.column("x").filter(pa.array(known))), points, length) if points is not None and known.any() else None
+                    for _, alpha, mean, weights, _ in alike:
+                        value = np.full(len(at), np.nan)
+                        if near is not None:
+                            value[known] = mean + near @ weights
+                        added = [pa.array([length] * len(at), pa.float64()), pa.array([alpha] * len(at), pa.float64()), pa.array(value, mask=np.isnan(value))]
+                        yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + added, names=[*names, "length", "alpha", out])
 
     return data.mapInArrow(apply, schema)

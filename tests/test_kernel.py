@@ -84,3 +84,32 @@ def test_hybrid_is_trunk_plus_gated_dense_correction(spark):
     np.testing.assert_allclose(out["correction"], want, atol=1e-4)
     gap = np.abs(out["temp_c"].to_numpy()[:, None] - train["temp_c"].to_numpy()[None, :]).min(1)
     np.testing.assert_allclose(out["pred"], out["base"] + 0.5 * np.exp(-(gap / 250) ** 2) * want, atol=1e-4)
+
+
+def test_equal_points_are_added_up_and_give_the_same_model(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(60, 3)), 5, axis=0)
+    points = table(spark, {0: (x, x[:, 0] + rng.normal(size=300))})
+    tasks = [KR.KernelTask(0, 2.0, alpha, True) for alpha in (0.1, 1.0)]
+    packed, made = [], KR.block_sums
+    monkeypatch.setattr(KR, "block_sums", lambda points, marks: (packed.append(points.count()), made(points, marks))[1])
+    together = KR.fit(points, tasks, count=40, block=8).orderBy("alpha").collect()
+    monkeypatch.setattr(KR, "WORTH_ADDING", 0.0)
+    apart = KR.fit(points, tasks, count=40, block=8).orderBy("alpha").collect()
+    assert packed == [60, 300]
+    for a, b in zip(together, apart, strict=True):
+        assert a["n_rows"] == b["n_rows"] == 300 and a["landmarks"] == b["landmarks"]
+        for name in ("mean", "rmse", "gap_mean", "gap_max", "bound", "weights"):
+            assert a[name] == pytest.approx(b[name], rel=1e-6, abs=1e-9), name
+
+
+def test_points_that_do_not_count_are_left_early():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 4))
+    marks = KR.Landmarks(x[:1], 2.0).extended(x[1:], 99, 1e-6)
+    whole = np.maximum(1.0 - (marks.features(x) ** 2).sum(1), 0.0)
+    least = np.sort(whole)[-50]
+    left = marks.gaps(x, least - 1e-8)
+    counts = whole >= least
+    assert np.allclose(left[counts], whole[counts], atol=1e-10) and (left[~counts] < least + 1e-10).all()
+    assert np.allclose(marks.gaps(x), whole, atol=1e-10) and not np.allclose(left, whole, atol=1e-3)
