@@ -79,8 +79,9 @@ def score(state: Hybrid, rows: DataFrame, inputs: list[str], etas: tuple[float,
     The correction fades with the distance to the nearest training temperature; where it
     is null, for want of an input, the base stands alone.
     """
-    based = with_base(rows, state.parameters, state.scales, inputs).withColumn("task", F.col("hold"))
+    # Distances first: they read their rows twice, and corrections are dear.
+    near = nearest_distance(rows, state.temperatures, ["hold"], roles.temperature, "_gap")
+    based = with_base(near, state.parameters, state.scales, inputs).withColumn("task", F.col("hold"))
     learned = KR.predict(based, state.models, "correction").drop("task")
-    near = nearest_distance(learned, state.temperatures, ["hold"], roles.temperature, "_gap")
-    gated = near.withColumn("support", F.coalesce(D.support_weight(F.col("_gap")), F.lit(0.0))).drop("_gap").withColumn("eta", F.explode(F.array(*[F.lit(float(e)) for e in etas])))
+    gated = learned.withColumn("support", F.coalesce(D.support_weight(F.col("_gap")), F.lit(0.0))).drop("_gap").withColumn("eta", F.explode(F.array(*[F.lit(float(e)) for e in etas])))
     return gated.withColumn(roles.pred, D.gated_blend(F.col("base"), F.coalesce("correction", F.lit(0.0)), F.col("support"), F.col("eta")))

@@ -113,3 +113,21 @@ def test_points_that_do_not_count_are_left_early():
     counts = whole >= least
     assert np.allclose(left[counts], whole[counts], atol=1e-10) and (left[~counts] < least + 1e-10).all()
     assert np.allclose(marks.gaps(x), whole, atol=1e-10) and not np.allclose(left, whole, atol=1e-3)
+
+
+def test_scoring_measures_distances_before_it_corrects(spark, monkeypatch):
+    from evenfold.plans import hybrid as H
+
+    read = []
+
+    class Seen(Exception):
+        pass
+
+    def distances(queries, *rest):
+        read.extend(queries.columns)
+        raise Seen
+
+    monkeypatch.setattr(H, "nearest_distance", distances)
+    with pytest.raises(Seen):
+        H.score(H.Hybrid(None, None, None, None), spark.range(1).select(F.lit(1).alias("hold"), F.lit(25.0).alias("temp_c")), [])
+    assert read == ["hold", "temp_c"]
